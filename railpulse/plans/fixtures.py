@@ -199,9 +199,77 @@ def timetable_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --------------------------------------------------------------------------- stop points
+# Reference line ids cycled by supplier key (fixed ids, listed in natural order).
+REF_LINE_IDS = ["bakerloo", "central", "circle", "district", "hammersmith-city", "jubilee",
+                "metropolitan", "northern", "piccadilly", "victoria", "waterloo-city"]
+
+
+def stop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat stop points (doc = nation, order = supplier key) with input variation:
+    empty stationNaptan, over-long codes and names, bus-only points, zero
+    longitude, and a later copy of every tenth station under the same code."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    ids = F.array(*[F.lit(x) for x in REF_LINE_IDS])
+    nid = F.lit(len(REF_LINE_IDS))
+    base = s.select(
+        F.col("s_nationkey").alias("doc_idx"), k.alias("key"), F.col("s_name"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("ST"), k.cast("string")))
+         .alias("stationNaptan"),
+        F.when(k % 40 == 0, F.concat(F.lit("940GZZLU"), F.lpad(k.cast("string"), 16, "0")))
+         .otherwise(F.concat(F.lit("ST"), k.cast("string"))).alias("naptanId"),
+        F.when(k % 50 == 0, F.concat(F.col("s_name"), F.lit(" Underground Station"),
+                                     F.repeat(F.lit(" Extension"), 9)))
+         .otherwise(F.concat(F.col("s_name"), F.lit(" Underground Station"))).alias("commonName"),
+        _lat(k).alias("lat"), _lng(k).alias("lon"),
+        F.array(F.lit("tube")).alias("modes"),
+        F.when(k % 9 == 0, F.array(F.struct(F.lit("bus").alias("modeName"),
+                                           F.array(F.lit("x1")).alias("lineIdentifier"))))
+         .otherwise(F.array(
+             F.struct(F.lit("tube").alias("modeName"),
+                      F.array(F.element_at(ids, (k % nid + 1).cast("int")),
+                              F.element_at(ids, ((k + 4) % nid + 1).cast("int")))
+                      .alias("lineIdentifier")),
+             F.struct(F.lit("bus").alias("modeName"),
+                      F.array(F.lit("x1")).alias("lineIdentifier")))).alias("lineModeGroups"),
+        F.when(k % 9 == 0, F.array().cast("array<struct<id:string>>")).otherwise(F.array(
+            F.struct(F.element_at(ids, ((k + 4) % nid + 1).cast("int")).alias("id")),
+            F.struct(F.element_at(ids, ((k + 7) % nid + 1).cast("int")).alias("id")),
+            F.struct(F.element_at(ids, ((k + 7) % nid + 1).cast("int")).alias("id")))
+        ).alias("lines"),
+    )
+    copies = base.filter(F.col("key") % 10 == 3).withColumns({
+        "commonName": F.concat(F.col("commonName"), F.lit(" (copy)")),
+        "key": F.col("key") + F.lit(1_000_000_000)})
+    both = base.unionByName(copies)
+    return both.select(
+        "doc_idx", F.col("key").alias("sp_idx"), "naptanId", "stationNaptan", "commonName",
+        "lat", "lon", "modes", "lineModeGroups", "lines")
+
+
+# --------------------------------------------------------------------------- name variants
+def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names to resolve: decorated, lower-cased, platform, parenthesised, prefix,
+    contained and unknown variants of every supplier name, plus alias keys."""
+    from railpulse.functions.constants import STATION_NAME_ALIASES
+    s = table(spark, sf_dir, "supplier")
+    n = F.col("s_name")
+    variants = F.array(
+        F.concat(n, F.lit(" Underground Station")), F.lower(n),
+        F.concat(n, F.lit(" Platform 2")), F.concat(n, F.lit(" (Main)")),
+        F.substring(n, 1, 17), F.substring(n, 10, 9),
+        F.concat(F.lit("Nowhere "), F.col("s_suppkey").cast("string")),
+        F.concat(n, F.lit(".")))
+    v = s.select(F.explode(variants).alias("name"))
+    al = spark.createDataFrame([(a,) for a, _ in STATION_NAME_ALIASES], "name string")
+    return v.unionByName(al).distinct()
+
+
 # =========================================================================== SQL side
 # name -> (dependencies, CTE body).  ``{n}`` is the supplier count subquery.
 ADAPTER_SQL: dict[str, tuple[list[str], str]] = {}
+_IDS = "[" + ", ".join(f"'{x}'" for x in REF_LINE_IDS) + "]"
 
 ADAPTER_SQL["stations"] = ([], """
 SELECT 'ST' || CAST(s_suppkey AS VARCHAR) AS code, s_name AS name,
@@ -292,6 +360,43 @@ FROM (
         FROM ({_KEPT_SQL}))
 ) WHERE pos >= 2""")
 
+ADAPTER_SQL["stop_points"] = ([], f"""
+WITH base AS (
+  SELECT s_nationkey AS doc_idx, s_suppkey AS key, s_name,
+         CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'ST' || CAST(s_suppkey AS VARCHAR) END AS stationNaptan,
+         CASE WHEN s_suppkey % 40 = 0 THEN '940GZZLU' || lpad(CAST(s_suppkey AS VARCHAR), 16, '0')
+              ELSE 'ST' || CAST(s_suppkey AS VARCHAR) END AS naptanId,
+         CASE WHEN s_suppkey % 50 = 0 THEN s_name || ' Underground Station' || repeat(' Extension', 9)
+              ELSE s_name || ' Underground Station' END AS commonName,
+         51.25 + ((s_suppkey * 37) % 128) / 256.0 AS lat,
+         -0.5 + ((s_suppkey * 53) % 128) / 128.0 AS lon,
+         ['tube'] AS modes,
+         CASE WHEN s_suppkey % 9 = 0 THEN [{{'modeName': 'bus', 'lineIdentifier': ['x1']}}]
+              ELSE [{{'modeName': 'tube', 'lineIdentifier': [{_IDS}[s_suppkey % {len(REF_LINE_IDS)} + 1],
+                                                            {_IDS}[(s_suppkey + 4) % {len(REF_LINE_IDS)} + 1]]}},
+                    {{'modeName': 'bus', 'lineIdentifier': ['x1']}}] END AS lineModeGroups,
+         CASE WHEN s_suppkey % 9 = 0 THEN CAST([] AS STRUCT(id VARCHAR)[])
+              ELSE [{{'id': {_IDS}[(s_suppkey + 4) % {len(REF_LINE_IDS)} + 1]}},
+                    {{'id': {_IDS}[(s_suppkey + 7) % {len(REF_LINE_IDS)} + 1]}},
+                    {{'id': {_IDS}[(s_suppkey + 7) % {len(REF_LINE_IDS)} + 1]}}] END AS lines
+  FROM supplier)
+SELECT doc_idx, key AS sp_idx, naptanId, stationNaptan, commonName, lat, lon, modes,
+       lineModeGroups, lines FROM base
+UNION ALL
+SELECT doc_idx, key + 1000000000, naptanId, stationNaptan, commonName || ' (copy)', lat, lon,
+       modes, lineModeGroups, lines FROM base WHERE key % 10 = 3""")
+
+ADAPTER_SQL["name_variants"] = ([], """
+SELECT DISTINCT name FROM (
+  SELECT unnest([s_name || ' Underground Station', lower(s_name), s_name || ' Platform 2',
+                 s_name || ' (Main)', substring(s_name, 1, 17), substring(s_name, 10, 9),
+                 'Nowhere ' || CAST(s_suppkey AS VARCHAR), s_name || '.']) AS name
+  FROM supplier
+  UNION ALL
+  SELECT * FROM (VALUES """ + ", ".join(f"('{a}')" for a, _ in __import__(
+    "railpulse.functions.constants", fromlist=["x"]).STATION_NAME_ALIASES) + """) t(name)
+)""")
+
 
 def with_ctes(needed: list[str], body: str, extra: dict[str, tuple[list[str], str]] | None = None
               ) -> str:

@@ -43,3 +43,301 @@ ORACLE["q_countdown"] = with_ctes(["predictions"], f"""
 SELECT id, time_to_station, {RANK_SQL.format(c='time_to_station')} AS countdown_rank,
        {SECONDS_SQL.format(c='time_to_station')} AS countdown_seconds
 FROM predictions""")
+
+
+# ---------------------------------------------------------------- text helpers (DuckDB/RE2)
+def trim_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def clean_loc(x: str) -> str:
+    for pat in [r"(?i)\s+Platform\s+[\d\s\w]+$", r"(?i)\s+Sidings?", r"(?i)\s+Depot",
+                r"(?i)\s+Yard", r"(?i)\s+Junction", r"\s*\(.*?\)", r"\.+$"]:
+        x = f"regexp_replace({x}, '{pat}', '', 'g')"
+    return trim_ws(x)
+
+
+def clean_lookup(x: str) -> str:
+    for pat in [r"(?i) Underground Station", r"(?i) Station", r"(?i) Platform\s*[\d\w\s]+$",
+                r"\."]:
+        x = f"regexp_replace({x}, '{pat}', '', 'g')"
+    return trim_ws(x)
+
+
+def f8(x: str) -> str:
+    return trim_ws(f"regexp_replace({x}, '\\.$', '')")
+
+
+def nullif_blank(x: str) -> str:
+    return f"NULLIF({x}, '')"
+
+
+RE = {
+    "between": r"(?i)^Between\s+(.+?)\s+and\s+(.+)$",
+    "at_platform": r"(?i)^At\s+Platform$",
+    "at": r"(?i)^At\s+(.+?)(?:\s+Platform\s+[\d\s\w]+)?(?:\s+Sidings?)?$",
+    "approaching": r"(?i)^Approaching\s+(.+?)(?:\s+Platform\s+[\d\s\w]+)?$",
+    "left": r"(?i)^(?:Left|Departed)\s+(.+)$",
+    "leaving": r"(?i)^Leaving\s+(.+)$",
+    "held": r"(?i)^Held\s+(?:at\s+)?(.+)$",
+}
+
+
+def loc_cols(t: str) -> str:
+    """loc_type, s1, s2 columns for location text ``t``."""
+    def m(k):
+        return f"regexp_matches({t}, '{RE[k]}')"
+
+    def g(k, i=1):
+        return nullif_blank(clean_loc(f"regexp_extract({t}, '{RE[k]}', {i})"))
+    blank = f"({t} IS NULL OR {trim_ws(t)} = '')"
+    typ = (f"CASE WHEN {blank} THEN 'unknown' WHEN {m('between')} THEN 'between' "
+           f"WHEN {m('at_platform')} THEN 'at' WHEN {m('at')} THEN 'at' "
+           f"WHEN {m('approaching')} THEN 'approaching' WHEN {m('left')} THEN 'left' "
+           f"WHEN {m('leaving')} THEN 'left' WHEN {m('held')} THEN 'at' ELSE 'unknown' END")
+    s1 = (f"CASE WHEN {blank} THEN NULL WHEN {m('between')} THEN {g('between')} "
+          f"WHEN {m('at_platform')} THEN NULL WHEN {m('at')} THEN {g('at')} "
+          f"WHEN {m('approaching')} THEN {g('approaching')} WHEN {m('left')} THEN {g('left')} "
+          f"WHEN {m('leaving')} THEN {g('leaving')} WHEN {m('held')} THEN {g('held')} END")
+    s2 = f"CASE WHEN NOT {blank} AND {m('between')} THEN {g('between', 2)} END"
+    return f"{typ} AS loc_type, {s1} AS s1, {s2} AS s2"
+
+
+ORACLE["q_parse_location"] = with_ctes(["predictions"], f"""
+SELECT id, current_location, loc_type, s1 AS station1, s2 AS station2,
+       CASE WHEN loc_type = 'at' THEN COALESCE(s1, NULLIF(regexp_replace(station_name, '\\.$', ''), ''))
+            WHEN loc_type = 'approaching' THEN s1 WHEN loc_type = 'between' THEN s2 END AS next_station
+FROM (SELECT id, current_location, station_name, {loc_cols('current_location')} FROM predictions)""")
+
+# ---------------------------------------------------------------- name resolution (brute force)
+from railpulse.functions.constants import STATION_NAME_ALIASES  # noqa: E402
+
+ALIASES_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', '{b}')" for a, b in STATION_NAME_ALIASES) + ") t(alias_key, alias_name)"
+
+
+DNAME = "lower(replace(st.name, '.', ''))"
+DNOPAR = "lower(" + trim_ws(r"replace(regexp_replace(st.name, '\s*\(.*?\)', '', 'g'), '.', '')") + ")"
+
+
+def resolve_sql(names_rel: str) -> str:
+    """name -> best station by brute-force priority over names x stations."""
+    s = "qa.s"
+    d = DNAME
+    qnp = "lower(" + trim_ws(f"regexp_replace({s}, " + r"'\s*\(.*?\)'" + ", '', 'g')") + ")"
+    return f"""
+SELECT q.name, b.code, b.st_name, b.lat, b.lng, b.pr AS match_priority
+FROM (SELECT DISTINCT name FROM {names_rel}) q
+LEFT JOIN (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY name ORDER BY pr, length(st_name), st_name, code) rn
+    FROM (
+      SELECT qk.name, st.code, st.name AS st_name, st.lat, st.lng,
+             CASE WHEN {d} = qk.ql THEN 0
+                  WHEN {d} = qk.qamp THEN 1
+                  WHEN starts_with({d}, qk.ql) THEN 2
+                  WHEN replace({d}, chr(39), '') = qk.qna THEN 3
+                  WHEN {DNOPAR} = qk.qnp THEN 4
+                  WHEN contains({d}, qk.ql) THEN 5 END AS pr
+      FROM (
+        SELECT *, regexp_replace(qnp, '(?i) and ', ' & ', 'g') AS qamp FROM (
+          SELECT name, lower({s}) AS ql, lower(replace({s}, chr(39), '')) AS qna, {qnp} AS qnp
+          FROM (SELECT q0.name, COALESCE(al.alias_name, q0.c) AS s
+                FROM (SELECT name, {clean_lookup('name')} AS c
+                      FROM (SELECT DISTINCT name FROM {names_rel})) q0
+                LEFT JOIN ({ALIASES_SQL}) al ON lower(q0.c) = al.alias_key) qa)) qk
+      CROSS JOIN stations st
+    ) WHERE pr IS NOT NULL
+  ) WHERE rn = 1
+) b ON b.name = q.name"""
+
+
+ORACLE["q_resolve_names"] = with_ctes(["name_variants", "stations"],
+                                      resolve_sql("name_variants"))
+
+# ---------------------------------------------------------------- dimensions
+from railpulse.functions.constants import STATION_LINE_CODE_MAP  # noqa: E402
+
+_MAP_CASE = "CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in STATION_LINE_CODE_MAP) + " END"
+_MAP_IN = "{x} IN (" + ", ".join(f"'{a}'" for a, _ in STATION_LINE_CODE_MAP) + ")"
+
+
+def _mapped(list_expr: str, field: str = "") -> str:
+    x = f"i{field}"
+    return (f"list_transform(list_filter({list_expr}, lambda i: {_MAP_IN.format(x=x)}), "
+            f"lambda i: {_MAP_CASE.format(x=x)})")
+
+
+CANDIDATES_SQL = f"""
+SELECT doc_idx, sp_idx, code, name, lat, lng,
+       list_concat(a, list_filter(b, lambda x, j: NOT list_contains(a, x) AND list_position(b, x) = j)) AS lines
+FROM (
+  SELECT doc_idx, sp_idx, COALESCE(NULLIF(stationNaptan, ''), naptanId, '') AS code,
+         {trim_ws("replace(COALESCE(commonName, ''), ' Underground Station', '')")} AS name,
+         lat, lon AS lng,
+         flatten(list_transform(list_filter(COALESCE(lineModeGroups, []), lambda g: g.modeName = 'tube'),
+                 lambda g: {_mapped("COALESCE(g.lineIdentifier, [])")})) AS a,
+         {_mapped("COALESCE(lines, [])", ".id")} AS b
+  FROM stop_points)
+WHERE lat IS NOT NULL AND lat <> 0 AND lng IS NOT NULL AND lng <> 0"""
+
+EXTRA: dict[str, tuple[list[str], str]] = {}
+EXTRA["st_candidates"] = (["stop_points"], f"SELECT * FROM ({CANDIDATES_SQL}) WHERE len(lines) > 0")
+
+ORACLE["q_station_build"] = with_ctes(["st_candidates"], """
+SELECT code, name, lat, lng, array_to_string(lines, ',') AS lines,
+       'POINT(' || CAST(lng AS VARCHAR) || ' ' || CAST(lat AS VARCHAR) || ')' AS location_wkt
+FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY doc_idx, sp_idx) rn FROM st_candidates)
+WHERE rn = 1""", EXTRA)
+
+ORACLE["q_station_quality"] = with_ctes(["st_candidates"], """
+SELECT count(*) AS n_stations, COALESCE(max(length(COALESCE(code, ''))), 0) AS max_code_len,
+       COALESCE(max(length(COALESCE(name, ''))), 0) AS max_name_len,
+       count(*) FILTER (WHERE length(COALESCE(code, '')) > 20) AS n_code_too_long,
+       count(*) FILTER (WHERE length(COALESCE(name, '')) > 100) AS n_name_too_long,
+       count(*) FILTER (WHERE length(COALESCE(code, '')) = 0) AS n_missing_code,
+       (count(*) FILTER (WHERE length(COALESCE(code, '')) > 20 OR length(COALESCE(name, '')) > 100
+                         OR length(COALESCE(code, '')) = 0)) = 0 AS valid
+FROM st_candidates""", EXTRA)
+# NB: ``valid`` counts issues, not stations; a station with two issues counts twice in Spark.
+ORACLE["q_station_quality"] = ORACLE["q_station_quality"].replace(
+    """(count(*) FILTER (WHERE length(COALESCE(code, '')) > 20 OR length(COALESCE(name, '')) > 100
+                         OR length(COALESCE(code, '')) = 0)) = 0 AS valid""",
+    """count(*) FILTER (WHERE length(COALESCE(code, '')) > 20 OR length(COALESCE(name, '')) > 100
+                         OR length(COALESCE(code, '')) = 0) = 0 AS valid""")
+
+ORACLE["q_station_issues"] = with_ctes(["st_candidates"], """
+SELECT sp_idx, code, name, 'code_too_long' AS issue, length(code) AS length FROM st_candidates WHERE length(COALESCE(code, '')) > 20
+UNION ALL
+SELECT sp_idx, code, name, 'name_too_long', length(name) FROM st_candidates WHERE length(COALESCE(name, '')) > 100
+UNION ALL
+SELECT sp_idx, code, name, 'missing_code', 0 FROM st_candidates WHERE length(COALESCE(code, '')) = 0""",
+                                       EXTRA)
+
+EXTRA["edges_raw"] = (["route_stops", "route_line_map"], """
+WITH s AS (
+  SELECT line_id, seq_no, pos, COALESCE(NULLIF(stationId, ''), NULLIF(id, '')) AS code, lat, lon
+  FROM route_stops),
+s2 AS (
+  SELECT line_id, seq_no, row_number() OVER w - 1 AS i, code AS from_code, lat AS from_lat,
+         lon AS from_lng, lead(code) OVER w AS to_code, lead(lat) OVER w AS to_lat,
+         lead(lon) OVER w AS to_lng
+  FROM s WHERE code IS NOT NULL
+  WINDOW w AS (PARTITION BY line_id, seq_no ORDER BY pos)),
+per_id AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id, least(from_code, to_code),
+                   greatest(from_code, to_code) ORDER BY seq_no, i) AS rn
+                 FROM s2 WHERE to_code IS NOT NULL) WHERE rn = 1),
+per_code AS (
+  SELECT * FROM (SELECT p.*, m.line_code, row_number() OVER (PARTITION BY m.line_code, from_code, to_code
+                   ORDER BY m.line_rank, seq_no, i) AS rn2
+                 FROM per_id p JOIN route_line_map m USING (line_id)) WHERE rn2 = 1)
+SELECT line_code, from_code, to_code, CAST(i AS INTEGER) AS sequence_order, from_lat, from_lng,
+       to_lat, to_lng, CAST(NULL AS INTEGER) AS travel_time_seconds
+FROM per_code
+WHERE from_lat IS NOT NULL AND from_lat <> 0 AND from_lng IS NOT NULL AND from_lng <> 0
+  AND to_lat IS NOT NULL AND to_lat <> 0 AND to_lng IS NOT NULL AND to_lng <> 0""")
+
+EXTRA["seg_times"] = (["timetable_intervals"], """
+WITH seg AS (
+  SELECT line_code, departure, route_idx, set_idx, interval_idx,
+         COALESCE(lag(COALESCE(stop_id, '')) OVER w, COALESCE(departure, '')) AS from_code,
+         COALESCE(stop_id, '') AS to_code,
+         COALESCE(time_to_arrival, 0.0) - COALESCE(lag(COALESCE(time_to_arrival, 0.0)) OVER w, 0.0) AS minutes
+  FROM timetable_intervals
+  WINDOW w AS (PARTITION BY line_code, departure, route_idx, set_idx ORDER BY interval_idx)),
+segf AS (
+  SELECT *, CAST(round_even(minutes * 60, 0) AS BIGINT) AS seconds FROM seg
+  WHERE to_code <> '' AND from_code <> '' AND minutes > 0),
+per_tt AS (
+  SELECT line_code, departure, from_code, to_code,
+         list_reduce(list(seconds ORDER BY route_idx, set_idx, interval_idx), lambda a, x: (a + x) // 2) AS tt_seconds,
+         min(route_idx * 0) AS _z,
+         arg_min([route_idx, set_idx, interval_idx], [route_idx, set_idx, interval_idx]) AS tt_first
+  FROM segf GROUP BY ALL)
+SELECT line_code, from_code, to_code,
+       CAST(list_reduce(list(tt_seconds ORDER BY departure), lambda a, x: (a + x) // 2) AS INTEGER) AS seconds,
+       min(departure) AS first_dep,
+       arg_min(tt_first, departure) AS first_pos
+FROM per_tt GROUP BY line_code, from_code, to_code""")
+
+ORACLE["q_adjacency"] = with_ctes(["edges_raw"], "SELECT * FROM edges_raw", EXTRA)
+
+ORACLE["q_terminals"] = with_ctes(["edges_raw", "stations"], """
+SELECT line_code, count(*) AS n_terminals, array_to_string(list(code ORDER BY code), ',') AS terminal_codes
+FROM (SELECT DISTINCT e.line_code, e.from_code AS code, s.name
+      FROM edges_raw e JOIN stations s ON s.code = e.from_code WHERE e.sequence_order = 0)
+GROUP BY line_code""", EXTRA)
+
+ORACLE["q_segment_times"] = with_ctes(["seg_times"],
+                                      "SELECT line_code, from_code, to_code, seconds FROM seg_times",
+                                      EXTRA)
+
+# per edge: the timed pair applied last among those matching either direction
+EXTRA["edges_applied"] = (["edges_raw", "seg_times"], """
+SELECT e.line_code, e.from_code, e.to_code, e.sequence_order, e.from_lat, e.from_lng, e.to_lat, e.to_lng,
+       CAST(COALESCE(t.seconds, e.travel_time_seconds, 120) AS INTEGER) AS travel_time_seconds,
+       t.seconds IS NOT NULL AS timed
+FROM edges_raw e
+LEFT JOIN (
+  SELECT * FROM (
+    SELECT e2.line_code, e2.from_code, e2.to_code, t.seconds,
+           row_number() OVER (PARTITION BY e2.line_code, e2.from_code, e2.to_code
+                              ORDER BY t.first_dep DESC, t.first_pos DESC) AS rn
+    FROM edges_raw e2 JOIN seg_times t ON t.line_code = e2.line_code
+      AND ((t.from_code = e2.from_code AND t.to_code = e2.to_code)
+           OR (t.from_code = e2.to_code AND t.to_code = e2.from_code))
+  ) WHERE rn = 1
+) t USING (line_code, from_code, to_code)""")
+EXTRA["edges"] = (["edges_applied"], "SELECT * EXCLUDE (timed) FROM edges_applied")
+
+ORACLE["q_apply_times"] = with_ctes(["edges_applied"], "SELECT * FROM edges_applied", EXTRA)
+
+EXTRA["unmatched"] = (["edges_raw", "seg_times"], """
+SELECT t.* FROM seg_times t
+WHERE NOT EXISTS (SELECT 1 FROM edges_raw e WHERE e.line_code = t.line_code
+   AND ((e.from_code = t.from_code AND e.to_code = t.to_code)
+        OR (e.from_code = t.to_code AND e.to_code = t.from_code)))""")
+
+ORACLE["q_unmatched_times"] = with_ctes(
+    ["unmatched"], "SELECT line_code, from_code, to_code, seconds FROM unmatched", EXTRA)
+ORACLE["q_unmatched_report"] = with_ctes(["unmatched"], """
+SELECT line_code, from_code, to_code, seconds FROM unmatched
+ORDER BY line_code, first_dep, first_pos LIMIT 20""", EXTRA)
+
+ORACLE["q_line_stations"] = with_ctes(["edges"], """
+SELECT line_code, from_code AS code FROM edges UNION SELECT line_code, to_code FROM edges""", EXTRA)
+
+ORACLE["q_neighbours"] = with_ctes(["edges"], """
+SELECT line_code, station_code, nb_code, nb_lat, nb_lng, travel_time,
+       row_number() OVER (PARTITION BY line_code, station_code
+                          ORDER BY sequence_order, line_code, from_code, to_code) AS nb_rank
+FROM (
+  SELECT line_code, from_code AS station_code, to_code AS nb_code, to_lat AS nb_lat, to_lng AS nb_lng,
+         COALESCE(travel_time_seconds, 120) AS travel_time, sequence_order, from_code, to_code FROM edges
+  UNION ALL
+  SELECT line_code, to_code, from_code, from_lat, from_lng, COALESCE(travel_time_seconds, 120),
+         sequence_order, from_code, to_code FROM edges WHERE from_code <> to_code)""", EXTRA)
+
+ORACLE["q_fk_violations"] = with_ctes(["edges", "seed_lines"], """
+SELECT 'missing_line' AS violation, line_code, from_code, to_code FROM edges
+WHERE line_code NOT IN (SELECT code FROM seed_lines)
+UNION ALL
+SELECT 'duplicate_key', line_code, from_code, to_code FROM edges GROUP BY ALL HAVING count(*) > 1
+UNION ALL
+SELECT 'null_required', line_code, from_code, to_code FROM edges
+WHERE line_code IS NULL OR from_code IS NULL OR to_code IS NULL OR sequence_order IS NULL""", EXTRA)
+
+ORACLE["q_seed"] = with_ctes(["seed_lines", "fixture_line_codes"], """
+SELECT * FROM seed_lines
+UNION ALL
+SELECT * FROM fixture_line_codes WHERE code NOT IN (SELECT code FROM seed_lines)""")
+
+EXTRA["upsert_st"] = (["stations"], """
+SELECT s.code, s.name, s.lat, s.lng, array_to_string(s.lines, ',') AS lines, p.s_acctbal
+FROM stations s JOIN supplier p ON s.code = 'ST' || CAST(p.s_suppkey AS VARCHAR)""")
+ORACLE["q_upsert"] = with_ctes(["upsert_st"], """
+SELECT code, name, lat, lng, lines FROM upsert_st
+WHERE s_acctbal < 5000 AND code NOT IN (SELECT code FROM upsert_st WHERE s_acctbal >= 2500)
+UNION ALL
+SELECT code, name || ' (new)', lat, lng, lines FROM upsert_st WHERE s_acctbal >= 2500""", EXTRA)

@@ -48,3 +48,116 @@ def q_countdown(spark, sf_dir):
     return p.select("id", "time_to_station",
                     text.countdown_rank("time_to_station").alias("countdown_rank"),
                     text.countdown_seconds("time_to_station").alias("countdown_seconds"))
+
+
+# --------------------------------------------------------------------------- C4 / C3
+from railpulse.operators import graph, location, names, refdata  # noqa: E402
+
+
+@query("q_parse_location")
+def q_parse_location(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir).select("id", "current_location", "station_name")
+    out = location.parse_locations(p)
+    return out.select("id", "current_location", "loc_type",
+                      F.col("loc_station1").alias("station1"),
+                      F.col("loc_station2").alias("station2"), "next_station")
+
+
+@query("q_resolve_names")
+def q_resolve_names(spark, sf_dir):
+    return names.resolve_names(fx.name_variants(spark, sf_dir), fx.stations(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- dimensions
+def _edges(spark, sf_dir, timed=True):
+    stops = fx.route_stops(spark, sf_dir)
+    lm = fx.route_line_map(stops)
+    if not timed:
+        return refdata.build_edges(stops, lm)
+    return refdata.timed_edges(stops, lm, fx.timetable_intervals(spark, sf_dir))
+
+
+def _times(spark, sf_dir):
+    return refdata.segment_times(fx.timetable_intervals(spark, sf_dir))
+
+
+@query("q_station_build")
+def q_station_build(spark, sf_dir):
+    st = refdata.build_stations(fx.stop_points(spark, sf_dir))
+    return st.withColumn("lines", F.array_join("lines", ","))
+
+
+@query("q_station_quality")
+def q_station_quality(spark, sf_dir):
+    return refdata.station_quality(refdata.parse_stop_points(fx.stop_points(spark, sf_dir)))
+
+
+@query("q_station_issues")
+def q_station_issues(spark, sf_dir):
+    return refdata.station_issues(refdata.parse_stop_points(fx.stop_points(spark, sf_dir))
+                                  ).drop("doc_idx")
+
+
+@query("q_adjacency")
+def q_adjacency(spark, sf_dir):
+    return _edges(spark, sf_dir, timed=False)
+
+
+@query("q_terminals")
+def q_terminals(spark, sf_dir):
+    return refdata.terminals_per_line(
+        refdata.terminals(_edges(spark, sf_dir, timed=False), fx.stations(spark, sf_dir)))
+
+
+@query("q_segment_times")
+def q_segment_times(spark, sf_dir):
+    return _times(spark, sf_dir).drop("first_seen")
+
+
+@query("q_apply_times")
+def q_apply_times(spark, sf_dir):
+    return refdata.apply_times(_edges(spark, sf_dir, timed=False), _times(spark, sf_dir))
+
+
+@query("q_unmatched_times")
+def q_unmatched_times(spark, sf_dir):
+    return refdata.unmatched_times(_edges(spark, sf_dir, timed=False),
+                                   _times(spark, sf_dir)).drop("first_seen")
+
+
+@query("q_unmatched_report")
+def q_unmatched_report(spark, sf_dir):
+    return refdata.unmatched_report(refdata.unmatched_times(
+        _edges(spark, sf_dir, timed=False), _times(spark, sf_dir)), 20)
+
+
+@query("q_line_stations")
+def q_line_stations(spark, sf_dir):
+    return graph.line_stations(_edges(spark, sf_dir))
+
+
+@query("q_neighbours")
+def q_neighbours(spark, sf_dir):
+    return graph.neighbour_table(_edges(spark, sf_dir))
+
+
+@query("q_fk_violations")
+def q_fk_violations(spark, sf_dir):
+    return refdata.fk_violations(_edges(spark, sf_dir), fx.seed_lines(spark))
+
+
+@query("q_seed")
+def q_seed(spark, sf_dir):
+    return refdata.insert_if_absent(fx.seed_lines(spark), fx.fixture_line_codes(spark, sf_dir))
+
+
+@query("q_upsert")
+def q_upsert(spark, sf_dir):
+    st = fx.stations(spark, sf_dir).withColumn("lines", F.array_join("lines", ","))
+    sup = fx.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("ST"), F.col("s_suppkey").cast("string")).alias("code"), "s_acctbal")
+    st = st.join(sup, "code")
+    old = st.filter(F.col("s_acctbal") < 5000).drop("s_acctbal")
+    new = (st.filter(F.col("s_acctbal") >= 2500).drop("s_acctbal")
+           .withColumn("name", F.concat(F.col("name"), F.lit(" (new)"))))
+    return refdata.upsert(old, new)
