@@ -122,7 +122,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 1000).cast("string").alias("trip_number"),
         line.alias("line_code"),
         F.concat(F.lit("ST"), F.col("x_key").cast("string")).alias("station_code"),
-        F.concat(X, F.when(kk % 2 == 0, ".").otherwise("")).alias("station_name"),
+        F.when(kk % 13 == 0, F.concat(F.lit("Depot "), F.col("user_id").cast("string")))
+         .otherwise(F.concat(X, F.when(kk % 2 == 0, ".").otherwise(""))).alias("station_name"),
         F.concat(F.lit("Platform "), (kk % 4 + 1).cast("string")).alias("platform_name"),
         (kk % 4 + 1).cast("string").alias("platform_code"),
         loc.alias("current_location"),
@@ -292,7 +293,8 @@ SELECT e.event_id AS id,
        CASE WHEN e.event_type IN ('click', 'signup') THEN 'A' WHEN e.event_type = 'view' THEN 'N'
             WHEN e.event_type = 'purchase' THEN 'R' END AS line_code,
        'ST' || CAST(e.x_key AS VARCHAR) AS station_code,
-       x.s_name || CASE WHEN e.k % 2 = 0 THEN '.' ELSE '' END AS station_name,
+       CASE WHEN e.k % 13 = 0 THEN 'Depot ' || CAST(e.user_id AS VARCHAR)
+            ELSE x.s_name || CASE WHEN e.k % 2 = 0 THEN '.' ELSE '' END END AS station_name,
        'Platform ' || CAST(e.k % 4 + 1 AS VARCHAR) AS platform_name,
        CAST(e.k % 4 + 1 AS VARCHAR) AS platform_code,
        CASE e.event_id % 10

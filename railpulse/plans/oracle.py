@@ -264,7 +264,7 @@ FROM per_tt GROUP BY line_code, from_code, to_code""")
 ORACLE["q_adjacency"] = with_ctes(["edges_raw"], "SELECT * FROM edges_raw", EXTRA)
 
 ORACLE["q_terminals"] = with_ctes(["edges_raw", "stations"], """
-SELECT line_code, count(*) AS n_terminals, array_to_string(list(code ORDER BY code), ',') AS terminal_codes
+SELECT line_code, count(*) AS n_terminals, min(code) AS first_terminal, max(code) AS last_terminal
 FROM (SELECT DISTINCT e.line_code, e.from_code AS code, s.name
       FROM edges_raw e JOIN stations s ON s.code = e.from_code WHERE e.sequence_order = 0)
 GROUP BY line_code""", EXTRA)

@@ -22,6 +22,11 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Only for sessions this module starts itself (local tests / bench).
+_LOCAL_DEFAULTS = {
+    "spark.driver.memory": "8g",
+}
+
 
 def get_spark(
     app: str = "railpulse",
@@ -33,6 +38,8 @@ def get_spark(
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULTS)
+    if master and master.startswith("local"):
+        conf.update(_LOCAL_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -61,3 +68,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Used where a derived table is consumed by many joins (dimensions, the
+    resolved-name lookup): the plan below becomes a plain scan with real
+    size statistics (AQE sizes its broadcast decisions on them), and a lost
+    executor re-reads files instead of recomputing the lineage.  Each call
+    writes a fresh folder; nothing is deleted.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
