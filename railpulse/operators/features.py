@@ -125,9 +125,14 @@ def line_features(lines: DataFrame, edges: DataFrame, spark: SparkSession) -> Da
 
 # --------------------------------------------------------------------------- C17
 def fixed4(x: Column) -> Column:
-    """4-decimal text key; keeps the sign of small negatives ('-0.0000')."""
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
-                    F.format_string("%.4f", F.abs(x)))
+    """4-decimal text key of a coordinate; small negatives keep their sign ('-0.0000').
+
+    Rounds half-up on the shortest decimal form of the double (via decimal
+    arithmetic, so every engine reading the same digits agrees).
+    """
+    dec = F.abs(x).cast("string").cast("decimal(38,18)")
+    txt = F.round(dec, 4).cast("decimal(38,4)").cast("string")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), txt)
 
 
 def spread_overlaps(df: DataFrame, lat: str = "lat", lng: str = "lng",

@@ -55,7 +55,8 @@ def trajectory(features: DataFrame, step_s: int = 10, horizon_s: int = 120) -> D
                            F.col("to_lng"), F.col("time_to_station_seconds").cast("double"),
                            F.col("predicted_next_lat"), F.col("predicted_next_lng"),
                            F.col("predicted_travel_time"), F.col("offset_s").cast("double"))
-    return g.select("id", "set_number", "line_code", "offset_s", lat.alias("traj_lat"),
+    return g.select("id", "set_number", "line_code", F.col("offset_s").cast("int"),
+                    lat.alias("traj_lat"),
                     lng.alias("traj_lng"))
 
 

@@ -341,3 +341,350 @@ SELECT code, name, lat, lng, lines FROM upsert_st
 WHERE s_acctbal < 5000 AND code NOT IN (SELECT code FROM upsert_st WHERE s_acctbal >= 2500)
 UNION ALL
 SELECT code, name || ' (new)', lat, lng, lines FROM upsert_st WHERE s_acctbal >= 2500""", EXTRA)
+
+# ---------------------------------------------------------------- positions (brute force)
+ANY = "'<any line>'"
+SECS = SECONDS_SQL.format(c="time_to_station")
+
+EXTRA["latest"] = (["predictions"], latest_sql())
+EXTRA["parsed"] = (["latest"], f"""
+SELECT l.*, {loc_cols('current_location')},
+       (station_name IS NOT NULL AND station_name <> '') AS sn_ok,
+       (destination IS NOT NULL AND destination <> '') AS dn_ok,
+       COALESCE({f8('station_name')}, '') AS sn_key,
+       (line_code IS NOT NULL AND line_code <> '') AS has_line,
+       CASE WHEN line_code IS NULL OR line_code = '' THEN {ANY} ELSE line_code END AS line_key,
+       {SECS} AS secs
+FROM latest l""")
+EXTRA["needed"] = (["parsed"], f"""
+SELECT DISTINCT name FROM (
+  SELECT unnest([CASE WHEN sn_ok THEN {f8('station_name')} END,
+                 CASE WHEN dn_ok THEN {f8('destination')} END, s1, s2]) AS name FROM parsed)
+WHERE name IS NOT NULL""")
+EXTRA["resolved"] = (["needed", "stations"], resolve_sql("needed"))
+EXTRA["lk"] = (["parsed", "resolved"], f"""
+SELECT raw, a.code AS d_code, a.lat AS d_lat, a.lng AS d_lng,
+       CASE WHEN a.code IS NOT NULL THEN a.code ELSE b.code END AS code,
+       CASE WHEN a.code IS NOT NULL THEN a.lat ELSE b.lat END AS lat,
+       CASE WHEN a.code IS NOT NULL THEN a.lng ELSE b.lng END AS lng
+FROM (SELECT DISTINCT raw FROM (SELECT unnest([s1, s2, station_name, destination, sn_key]) AS raw
+                                FROM parsed) WHERE raw IS NOT NULL) r
+LEFT JOIN resolved a ON a.name = r.raw
+LEFT JOIN resolved b ON b.name = {f8('r.raw')}""")
+EXTRA["ls"] = (["edges"], """
+SELECT DISTINCT line_code, code FROM (SELECT line_code, from_code AS code FROM edges
+                                      UNION ALL SELECT line_code, to_code FROM edges)""")
+EXTRA["nb"] = (["edges"], f"""
+WITH n AS (
+  SELECT line_code, from_code AS station_code, to_code AS nb_code, to_lat AS nb_lat, to_lng AS nb_lng,
+         COALESCE(travel_time_seconds, 120) AS tt, sequence_order, from_code, to_code FROM edges
+  UNION ALL
+  SELECT line_code, to_code, from_code, from_lat, from_lng, COALESCE(travel_time_seconds, 120),
+         sequence_order, from_code, to_code FROM edges WHERE from_code <> to_code)
+SELECT line_code AS line_key, * FROM n UNION ALL SELECT {ANY} AS line_key, * FROM n""")
+
+
+def _slot(alias: str, key: str, guard: str | None, field: str = "") -> str:
+    cond = f"AND ({guard})" if guard else ""
+    return (f"LEFT JOIN lk {alias} ON {alias}.raw = {key} {cond}")
+
+
+EXTRA["ctx_base"] = (["parsed", "lk", "ls"], f"""
+SELECT p.*,
+  k1.code AS r1_code, k1.lat AS r1_lat, k1.lng AS r1_lng,
+  k2.code AS r2_code, k2.lat AS r2_lat, k2.lng AS r2_lng,
+  kp.code AS rp_code, kp.lat AS rp_lat, kp.lng AS rp_lng,
+  kd.code AS rd_code, kd.lat AS rd_lat, kd.lng AS rd_lng,
+  CASE WHEN p.sn_ok THEN kv.code END AS rv_code,
+  kv.d_code AS to_code, kv.d_lat AS to_lat, kv.d_lng AS to_lng,
+  (NOT p.has_line OR EXISTS (SELECT 1 FROM ls WHERE ls.line_code = p.line_code AND ls.code = k1.code)) AS on1,
+  (NOT p.has_line OR EXISTS (SELECT 1 FROM ls WHERE ls.line_code = p.line_code AND ls.code = k2.code)) AS on2,
+  (NOT p.has_line OR EXISTS (SELECT 1 FROM ls WHERE ls.line_code = p.line_code
+                             AND ls.code = CASE WHEN p.sn_ok THEN kv.code END)) AS onv
+FROM parsed p
+{_slot('k1', 'p.s1', None)}
+{_slot('k2', 'p.s2', None)}
+{_slot('kp', 'p.station_name', 'p.sn_ok')}
+{_slot('kd', 'p.destination', 'p.dn_ok')}
+{_slot('kv', 'p.sn_key', None)}""")
+
+# validation
+VALID_SQL = """(NOT has_line
+  OR (loc_type = 'at' AND s1 IS NULL AND NOT sn_ok)
+  OR (loc_type IN ('approaching', 'left') AND s1 IS NULL)
+  OR (loc_type = 'between' AND (s1 IS NULL OR s2 IS NULL))
+  OR (loc_type = 'unknown' AND NOT sn_ok)
+  OR CASE WHEN loc_type = 'at' THEN (CASE WHEN s1 IS NOT NULL THEN r1_code IS NOT NULL AND on1
+                                          ELSE rv_code IS NOT NULL AND onv END)
+          WHEN loc_type IN ('approaching', 'left') THEN r1_code IS NOT NULL AND on1
+          WHEN loc_type = 'between' THEN r1_code IS NOT NULL AND on1 AND r2_code IS NOT NULL AND on2
+          ELSE rv_code IS NOT NULL AND onv END)"""
+
+def ctx_sql(base: str, cond: str) -> str:
+    return f"""
+WITH v AS (SELECT * FROM {base} WHERE {cond}),
+ap AS (SELECT * FROM (
+  SELECT v.id, nb.nb_code AS ap_code, nb.nb_lat AS ap_lat, nb.nb_lng AS ap_lng, nb.tt AS ap_tt,
+         row_number() OVER (PARTITION BY v.id ORDER BY
+           CASE WHEN v.rp_code IS NOT NULL AND nb.nb_code = v.rp_code THEN 1 ELSE 0 END,
+           nb.sequence_order, nb.line_code, nb.from_code, nb.to_code) AS rn
+  FROM v JOIN nb ON nb.line_key = v.line_key AND nb.station_code = v.r1_code) WHERE rn = 1),
+lf AS (SELECT * FROM (
+  SELECT v.id, nb.nb_code AS lf_code, nb.nb_lat AS lf_lat, nb.nb_lng AS lf_lng, nb.tt AS lf_tt,
+         (v.rp_code IS NOT NULL AND nb.nb_code = v.rp_code) AS lf_toward,
+         row_number() OVER (PARTITION BY v.id ORDER BY
+           CASE WHEN v.rp_code IS NOT NULL AND nb.nb_code = v.rp_code THEN 0 ELSE 1 END,
+           nb.sequence_order, nb.line_code, nb.from_code, nb.to_code) AS rn
+  FROM v JOIN nb ON nb.line_key = v.line_key AND nb.station_code = v.r1_code) WHERE rn = 1),
+sg AS (SELECT * FROM (
+  SELECT v.id, e.travel_time_seconds AS sg_tt,
+         row_number() OVER (PARTITION BY v.id ORDER BY
+           CASE WHEN v.has_line AND e.line_code = v.line_code THEN 0 ELSE 1 END,
+           e.sequence_order, e.line_code, e.from_code, e.to_code) AS rn
+  FROM v JOIN edges e ON (e.from_code = v.r1_code AND e.to_code = v.r2_code)
+                      OR (e.from_code = v.r2_code AND e.to_code = v.r1_code)) WHERE rn = 1)
+SELECT v.*, ap.ap_code, ap.ap_lat, ap.ap_lng, ap.ap_tt, lf.lf_code, lf.lf_lat, lf.lf_lng,
+       lf.lf_tt, lf.lf_toward, sg.sg_tt, sg.id IS NOT NULL AS sg_found
+FROM v LEFT JOIN ap USING (id) LEFT JOIN lf USING (id) LEFT JOIN sg USING (id)"""
+
+
+EXTRA["ctx"] = (["ctx_base", "nb", "edges"], ctx_sql("ctx_base", VALID_SQL))
+
+
+def _frac(tt: str, default: float) -> str:
+    return (f"(CASE WHEN secs IS NULL THEN {default} "
+            f"ELSE greatest(0.0, least(1.0, 1.0 - secs / ({tt}))) END)")
+
+
+def _interp(a: str, b: str, f: str) -> tuple[str, str]:
+    return (f"({a}_lat + ({b}_lat - {a}_lat) * {f})", f"({a}_lng + ({b}_lng - {a}_lng) * {f})")
+
+
+def _pos_case() -> tuple[str, str, str]:
+    conf = "CASE WHEN secs IS NULL THEN 'estimated' ELSE 'interpolated' END"
+    plat = ("sn_ok AND rp_code IS NOT NULL", "rp_lat", "rp_lng", "'estimated'")
+    at_src = "CASE WHEN s1 IS NOT NULL THEN r1_{f} WHEN sn_ok THEN rp_{f} END"
+    la, ga = _interp("ap", "r1", _frac("ap_tt", 0.9))
+    lt, gt = _interp("r1", "rp", _frac("lf_tt", 0.1))
+    ln, gn = _interp("r1", "lf", _frac("lf_tt", 0.1))
+    lb, gb = _interp("r1", "r2", _frac("COALESCE(sg_tt, 120)", 0.5))
+    rules = [
+        # (condition, lat, lng, confidence) — first true wins, else NULL
+        ("loc_type = 'at' AND (" + at_src.format(f="code") + ") IS NOT NULL",
+         at_src.format(f="lat"), at_src.format(f="lng"), "'exact'"),
+        ("loc_type = 'at'", "NULL", "NULL", "NULL"),
+        ("loc_type IN ('approaching', 'left', 'between') AND (s1 IS NULL OR (loc_type = 'between' AND s2 IS NULL))",
+         "NULL", "NULL", "NULL"),
+        ("loc_type IN ('approaching', 'left') AND NOT (r1_code IS NOT NULL AND on1) AND " + plat[0],
+         plat[1], plat[2], plat[3]),
+        ("loc_type IN ('approaching', 'left') AND NOT (r1_code IS NOT NULL AND on1)", "NULL", "NULL", "NULL"),
+        ("loc_type = 'approaching' AND ap_code IS NOT NULL", la, ga, conf),
+        ("loc_type = 'approaching'", "r1_lat", "r1_lng", "'estimated'"),
+        ("loc_type = 'left' AND lf_code IS NOT NULL AND lf_toward", lt, gt, conf),
+        ("loc_type = 'left' AND lf_code IS NOT NULL", ln, gn, conf),
+        ("loc_type = 'left'", "r1_lat", "r1_lng", "'estimated'"),
+        ("loc_type = 'between' AND NOT (r1_code IS NOT NULL AND r2_code IS NOT NULL AND on1 AND on2) AND "
+         + plat[0], plat[1], plat[2], plat[3]),
+        ("loc_type = 'between' AND NOT (r1_code IS NOT NULL AND r2_code IS NOT NULL AND on1 AND on2)",
+         "NULL", "NULL", "NULL"),
+        ("loc_type = 'between'", lb, gb, conf),
+        (plat[0], plat[1], plat[2], plat[3]),
+    ]
+    out = []
+    for i in (1, 2, 3):
+        out.append("CASE " + " ".join(f"WHEN {r[0]} THEN {r[i]}" for r in rules) + " END")
+    return tuple(out)
+
+
+PLAT, PLNG, PCONF = _pos_case()
+NORM = "lower(" + trim_ws("replace({c}, '.', '')") + ")"
+
+EXTRA["positions"] = (["ctx", "nb"], f"""
+WITH c AS (SELECT *, {PLAT} AS c_lat, {PLNG} AS c_lng, {PCONF} AS c_conf FROM ctx),
+pc AS (SELECT *,
+  (calculated_lat IS NOT NULL AND calculated_lat <> 0 AND calculated_lng IS NOT NULL AND calculated_lng <> 0) AS pre,
+  (secs IS NULL AND sn_ok AND dn_ok AND {NORM.format(c='station_name')} <> {NORM.format(c='destination')}
+   AND rp_code IS NOT NULL AND rd_code IS NOT NULL AND rp_code <> rd_code) AS want_next
+  FROM c),
+nx AS (SELECT * FROM (
+  SELECT pc.id, nb.nb_lat AS nx_lat, nb.nb_lng AS nx_lng, nb.tt AS nx_tt,
+         row_number() OVER (PARTITION BY pc.id ORDER BY
+           (nb.nb_lat - pc.rd_lat) * (nb.nb_lat - pc.rd_lat) + (nb.nb_lng - pc.rd_lng) * (nb.nb_lng - pc.rd_lng),
+           nb.sequence_order, nb.line_code, nb.from_code, nb.to_code) AS rn
+  FROM pc JOIN nb ON nb.line_key = pc.line_key AND nb.station_code = pc.rp_code
+  WHERE pc.want_next) WHERE rn = 1)
+SELECT pc.*,
+  CASE WHEN pre THEN calculated_lat WHEN c_conf IS NOT NULL THEN c_lat WHEN to_code IS NOT NULL THEN to_lat END AS lat,
+  CASE WHEN pre THEN calculated_lng WHEN c_conf IS NOT NULL THEN c_lng WHEN to_code IS NOT NULL THEN to_lng END AS lng,
+  CASE WHEN pre THEN 'precalculated' WHEN c_conf IS NOT NULL THEN c_conf
+       WHEN to_code IS NOT NULL THEN 'station_fallback' ELSE 'none' END AS position_confidence,
+  secs AS time_to_station_seconds,
+  nx.nx_lat AS predicted_next_lat, nx.nx_lng AS predicted_next_lng, nx.nx_tt AS predicted_travel_time
+FROM pc LEFT JOIN nx USING (id)""")
+
+ORACLE["q_line_validation"] = with_ctes(["ctx_base"], f"""
+SELECT id, set_number, line_code, loc_type FROM ctx_base WHERE {VALID_SQL}""", EXTRA)
+
+ORACLE["q_positions"] = with_ctes(["positions"], """
+SELECT id, set_number, line_code, loc_type, lat, lng, position_confidence, to_lat, to_lng,
+       time_to_station_seconds FROM positions""", EXTRA)
+
+ORACLE["q_position_stats"] = with_ctes(["positions"], """
+SELECT count(*) AS filtered_trains,
+       count(*) FILTER (WHERE position_confidence NOT IN ('station_fallback', 'none')) AS positioned,
+       count(*) FILTER (WHERE position_confidence = 'station_fallback') AS fallback_used,
+       count(*) FILTER (WHERE position_confidence = 'none') AS missing,
+       count(*) FILTER (WHERE lat IS NOT NULL AND lng IS NOT NULL) AS shown
+FROM positions""", EXTRA)
+
+ORACLE["q_next_station"] = with_ctes(["positions"], """
+SELECT id, set_number, line_code, predicted_next_lat, predicted_next_lng, predicted_travel_time
+FROM positions""", EXTRA)
+
+# ---------------------------------------------------------------- features and labels
+from railpulse.functions.constants import LINE_COLORS, LINE_SPLITS  # noqa: E402
+
+COLOR_SQL = ("COALESCE(CASE line_code " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LINE_COLORS)
+             + " END, '#888888')")
+
+
+def labels_sql(rel: str, extra_cols: str = "") -> str:
+    label = "regexp_replace(station_name, '\\.$', '')"
+    nxt = (f"CASE WHEN loc_type = 'at' THEN COALESCE(s1, NULLIF({label}, '')) "
+           f"WHEN loc_type = 'approaching' THEN s1 WHEN loc_type = 'between' THEN s2 END")
+    return f"""
+SELECT *, loc_type AS location_type,
+  CASE WHEN loc_type = 'at' AND s1 IS NULL AND {label} IS NOT NULL AND {label} <> ''
+       THEN 'At ' || {label} ELSE current_location END AS display_location,
+  CASE WHEN loc_type = 'at' THEN 'At ' || COALESCE(NULLIF(nxt, ''), NULLIF(station_name, ''), 'station')
+       WHEN nxt IS NOT NULL AND nxt <> '' AND time_to_station IS NOT NULL AND time_to_station <> ''
+            AND time_to_station <> '-' THEN 'Next: ' || nxt || ' in ' || time_to_station
+       WHEN time_to_station IS NOT NULL AND time_to_station <> '' AND time_to_station <> '-'
+            THEN 'ETA: ' || time_to_station
+       ELSE 'Status: ' || loc_type END AS eta_label,
+  {COLOR_SQL} AS line_color
+FROM (SELECT *, {nxt} AS nxt {extra_cols} FROM {rel})"""
+
+
+ORACLE["q_train_labels"] = with_ctes(["predictions"], f"""
+SELECT id, location_type, nxt AS next_station, display_location, eta_label, line_color
+FROM ({labels_sql(f"(SELECT *, {loc_cols('current_location')} FROM predictions)")})""")
+
+EXTRA["features"] = (["positions"], f"""
+SELECT id, set_number, trip_number, line_code, station_name, display_location AS current_location,
+       location_type, nxt AS next_station, time_to_station, destination, timestamp, lat, lng,
+       position_confidence, lat AS from_lat, lng AS from_lng, to_lat, to_lng, time_to_station_seconds,
+       timestamp AS data_timestamp, predicted_next_lat, predicted_next_lng, predicted_travel_time,
+       eta_label, line_color
+FROM ({labels_sql("(SELECT * FROM positions WHERE lat IS NOT NULL AND lng IS NOT NULL)")})""")
+
+ORACLE["q_train_features"] = with_ctes(["features"], "SELECT * FROM features", EXTRA)
+
+ORACLE["q_station_features"] = with_ctes(["stations"], """
+SELECT code, name, lat, lng, array_to_string(lines, ',') AS lines FROM stations
+WHERE lat IS NOT NULL AND lng IS NOT NULL AND list_contains(lines, 'A')""")
+
+SPLITS_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', '{n}', '{col}', {o})" for c, n, col, o in LINE_SPLITS) + ") t(code, v_name, v_color, line_offset)"
+EXTRA["line_variants"] = (["seed_lines", "fixture_line_codes"], f"""
+SELECT l.code, COALESCE(s.v_name, l.name) AS name, COALESCE(s.v_color, l.color) AS color,
+       COALESCE(s.line_offset, 0) AS line_offset
+FROM (SELECT * FROM seed_lines UNION ALL
+      SELECT * FROM fixture_line_codes WHERE code NOT IN (SELECT code FROM seed_lines)) l
+LEFT JOIN ({SPLITS_SQL}) s USING (code)""")
+
+ORACLE["q_line_features"] = with_ctes(["line_variants", "edges"], """
+SELECT v.code, v.name, v.color, v.line_offset, COALESCE(c.n, 0) AS n_segments
+FROM line_variants v LEFT JOIN (SELECT line_code AS code, count(*) AS n FROM edges GROUP BY 1) c
+USING (code)""", EXTRA)
+
+ORACLE["q_line_segments"] = with_ctes(["line_variants", "edges"], """
+SELECT v.code, v.name, v.color, v.line_offset, e.from_code, e.to_code, e.from_lng, e.from_lat,
+       e.to_lng, e.to_lat
+FROM line_variants v LEFT JOIN edges e ON e.line_code = v.code""", EXTRA)
+
+# ---------------------------------------------------------------- coverage (no line, direct names)
+EXTRA["cov_parsed"] = (["latest"], f"""
+SELECT l.*, {loc_cols('current_location')},
+       (station_name IS NOT NULL AND station_name <> '') AS sn_ok,
+       (destination IS NOT NULL AND destination <> '') AS dn_ok,
+       FALSE AS has_line, {ANY} AS line_key, {SECS} AS secs
+FROM latest l""")
+EXTRA["cov_names"] = (["cov_parsed"], """
+SELECT DISTINCT name FROM (SELECT unnest([s1, s2, station_name, destination]) AS name FROM cov_parsed)
+WHERE name IS NOT NULL AND name <> ''""")
+EXTRA["cov_resolved"] = (["cov_names", "stations"], resolve_sql("cov_names"))
+EXTRA["cov_ctx_base"] = (["cov_parsed", "cov_resolved"], """
+SELECT p.*, k1.code AS r1_code, k1.lat AS r1_lat, k1.lng AS r1_lng,
+       k2.code AS r2_code, k2.lat AS r2_lat, k2.lng AS r2_lng,
+       kp.code AS rp_code, kp.lat AS rp_lat, kp.lng AS rp_lng,
+       TRUE AS on1, TRUE AS on2
+FROM cov_parsed p
+LEFT JOIN cov_resolved k1 ON k1.name = p.s1
+LEFT JOIN cov_resolved k2 ON k2.name = p.s2
+LEFT JOIN cov_resolved kp ON kp.name = p.station_name AND p.sn_ok""")
+EXTRA["cov_ctx"] = (["cov_ctx_base", "nb", "edges"], ctx_sql("cov_ctx_base", "TRUE"))
+EXTRA["coverage"] = (["cov_ctx"], f"""
+SELECT set_number, trip_number, line_code, station_name, current_location, time_to_station,
+       destination, loc_type, pre AS has_precalculated_position,
+       (pre OR c_conf IS NOT NULL) AS will_show_on_map, c_lat AS calc_lat, c_lng AS calc_lng,
+       c_conf AS calc_confidence,
+       CASE WHEN c_conf IS NULL AND NOT (calculated_lat IS NOT NULL AND calculated_lat <> 0) THEN
+         CASE WHEN loc_type = 'unknown'
+              THEN 'Location text "' || COALESCE(current_location, 'null') || '" doesn''t match any pattern'
+              ELSE 'Could not find station(s) in database for "' || COALESCE(current_location, 'null') || '"'
+         END END AS reason_if_missing
+FROM (SELECT *, {PLAT} AS c_lat, {PLNG} AS c_lng, {PCONF} AS c_conf,
+        (calculated_lat IS NOT NULL AND calculated_lat <> 0 AND calculated_lng IS NOT NULL
+         AND calculated_lng <> 0) AS pre
+      FROM cov_ctx)""")
+
+ORACLE["q_coverage_summary"] = with_ctes(["coverage"], """
+SELECT count(*) AS total_trains_in_db, count(*) FILTER (WHERE will_show_on_map) AS visible_on_map,
+       count(*) FILTER (WHERE NOT will_show_on_map) AS missing_from_map,
+       count(*) - count(DISTINCT set_number) AS duplicate_set_numbers, 'all' AS line_filter
+FROM coverage""", EXTRA)
+ORACLE["q_missing_by_reason"] = with_ctes(["coverage"], """
+SELECT COALESCE(reason_if_missing, 'unknown') AS reason, count(*) AS n_trains,
+       min(set_number) AS first_set_number, max(set_number) AS last_set_number
+FROM coverage WHERE NOT will_show_on_map GROUP BY 1""", EXTRA)
+ORACLE["q_missing_trains"] = with_ctes(["coverage"], """
+SELECT COALESCE(reason_if_missing, 'unknown') AS reason, set_number, line_code, current_location, loc_type
+FROM coverage WHERE NOT will_show_on_map""", EXTRA)
+
+# ---------------------------------------------------------------- trajectory / overlap
+ORACLE["q_trajectory"] = with_ctes(["features"], """
+SELECT id, set_number, line_code, offset_s,
+  CASE WHEN to_lat IS NOT NULL AND to_lng IS NOT NULL AND time_to_station_seconds IS NOT NULL
+            AND time_to_station_seconds > 0
+         THEN from_lat + (to_lat - from_lat) * least(1.0, greatest(0.0, CAST(offset_s AS DOUBLE))
+                                                      / CAST(time_to_station_seconds AS DOUBLE))
+       WHEN time_to_station_seconds IS NULL AND predicted_next_lat IS NOT NULL
+            AND predicted_next_lng IS NOT NULL AND offset_s > 30
+         THEN from_lat + (predicted_next_lat - from_lat) * least(0.35, (CAST(offset_s AS DOUBLE) - 30)
+                                                      / COALESCE(CAST(predicted_travel_time AS DOUBLE), 120.0))
+       ELSE from_lat END AS traj_lat,
+  CASE WHEN to_lat IS NOT NULL AND to_lng IS NOT NULL AND time_to_station_seconds IS NOT NULL
+            AND time_to_station_seconds > 0
+         THEN from_lng + (to_lng - from_lng) * least(1.0, greatest(0.0, CAST(offset_s AS DOUBLE))
+                                                      / CAST(time_to_station_seconds AS DOUBLE))
+       WHEN time_to_station_seconds IS NULL AND predicted_next_lat IS NOT NULL
+            AND predicted_next_lng IS NOT NULL AND offset_s > 30
+         THEN from_lng + (predicted_next_lng - from_lng) * least(0.35, (CAST(offset_s AS DOUBLE) - 30)
+                                                      / COALESCE(CAST(predicted_travel_time AS DOUBLE), 120.0))
+       ELSE from_lng END AS traj_lng
+FROM features, (SELECT CAST(unnest(generate_series(0, 120, 10)) AS INTEGER) AS offset_s) g""", EXTRA)
+
+
+def fixed4_sql(x: str) -> str:
+    return (f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(CAST(round(CAST(CAST(abs({x}) AS VARCHAR)"
+            f" AS DECIMAL(38,18)), 4) AS DECIMAL(38,4)) AS VARCHAR))")
+
+
+ORACLE["q_overlap_spread"] = with_ctes(["features"], f"""
+SELECT id, set_number, line_code, n AS overlap_count,
+  round(CASE WHEN n > 1 THEN lat + sin(6.283185307179586 / n * i - 1.5707963267948966) * 0.00015 ELSE lat END, 9) AS display_lat,
+  round(CASE WHEN n > 1 THEN lng + cos(6.283185307179586 / n * i - 1.5707963267948966) * 0.00015 ELSE lng END, 9) AS display_lng
+FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n,
+             row_number() OVER (PARTITION BY k ORDER BY set_number ASC NULLS FIRST, line_code ASC NULLS FIRST) - 1 AS i
+      FROM (SELECT *, {fixed4_sql('lng')} || ',' || {fixed4_sql('lat')} AS k FROM features))""", EXTRA)
