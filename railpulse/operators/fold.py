@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railpulse.session import materialize
+
 K = 64
 
 
@@ -33,30 +35,37 @@ def _fold(xs: Column, start: Column) -> Column:
 
 
 def halving_fold(df: DataFrame, keys: list[str], order: list[str], value: str,
-                 out: str = "folded") -> DataFrame:
-    """keys..., ``out`` (bigint), ``n`` (values folded per key)."""
+                 out: str = "folded", extra_aggs: tuple[Column, ...] = ()) -> DataFrame:
+    """keys..., ``n`` (values folded per key), extra aggregates, ``out`` (bigint).
+
+    The result is written once to the shared checkpoint folder; the exact
+    fallback runs only when some key is left unsettled (checked on that
+    stored result, so the input is not recomputed for the check).
+    """
     v = F.col(value).cast("bigint")
+    item = F.struct(*[F.col(c) for c in order], v.alias("_v"))
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     tail = (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= K)
-            .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order],
-                                                      v.alias("_v")))).alias("_xs")))
+            .groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_xs")))
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("_lo"),
-                                  F.max(v).alias("_hi"))
+                                  F.max(v).alias("_hi"), *extra_aggs)
+    extra = [c for c in stats.columns if c not in (*keys, "n", "_lo", "_hi")]
     j = tail.join(stats, keys)
     xs = F.transform("_xs", lambda s: s["_v"])
     exact = _fold(F.slice(xs, 2, K), F.element_at(xs, 1))
     lo = _fold(xs, F.col("_lo"))
     hi = _fold(xs, F.col("_hi"))
-    j = j.select(*keys, "n", F.when(F.col("n") <= K, exact).when(lo == hi, lo).alias(out))
+    j = j.select(*keys, "n", *extra,
+                 F.when(F.col("n") <= K, exact).when(lo == hi, lo).alias(out))
+    j = materialize(j, "halving-fold")
+    if j.filter(F.col(out).isNull()).limit(1).count() == 0:
+        return j
+    # exact path, only for the keys whose two bounds disagree
     settled = j.filter(F.col(out).isNotNull())
-    open_keys = j.filter(F.col(out).isNull()).select(*keys)
-    # exact path for the (rare) keys whose bounds disagree
-    full = (df.join(open_keys, keys, "left_semi").groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order],
-                                                      v.alias("_v")))).alias("_xs"),
-                 F.count(F.lit(1)).alias("n")))
+    open_keys = j.filter(F.col(out).isNull()).drop(out)
+    full = (df.join(open_keys.select(*keys), keys, "left_semi").groupBy(*keys)
+            .agg(F.sort_array(F.collect_list(item)).alias("_xs")))
     fxs = F.transform("_xs", lambda s: s["_v"])
-    full = full.select(*keys, "n", _fold(F.slice(fxs, 2, F.size(fxs)), F.element_at(fxs, 1)
-                                         ).alias(out))
+    full = full.select(*keys, _fold(F.slice(fxs, 2, F.size(fxs)), F.element_at(fxs, 1))
+                       .alias(out)).join(open_keys, keys)
     return settled.unionByName(full)

@@ -187,18 +187,15 @@ def segment_times(intervals: DataFrame) -> DataFrame:
     seg = seg.filter((F.col("to_code") != "") & (F.col("from_code") != "")
                      & (F.col("minutes") > 0))
     seg = seg.withColumn("seconds", F.bround(F.col("minutes") * 60, 0).cast("long"))
-    per_tt = halving_fold(seg, ["line_code", "departure", "from_code", "to_code"],
-                          ["route_idx", "set_idx", "interval_idx"], "seconds", "tt_seconds")
-    first_tt = seg.groupBy("line_code", "departure", "from_code", "to_code").agg(
-        F.min(F.struct("route_idx", "set_idx", "interval_idx")).alias("tt_first"))
-    per_tt = per_tt.join(first_tt, ["line_code", "departure", "from_code", "to_code"])
-    per_line = halving_fold(per_tt, ["line_code", "from_code", "to_code"], ["departure"],
-                            "tt_seconds", "seconds")
-    first_line = per_tt.groupBy("line_code", "from_code", "to_code").agg(
-        F.min(F.struct("departure", "tt_first")).alias("first_seen"))
-    return per_line.join(first_line, ["line_code", "from_code", "to_code"]).select(
-        "line_code", "from_code", "to_code", F.col("seconds").cast("int").alias("seconds"),
-        "first_seen")
+    per_tt = halving_fold(
+        seg, ["line_code", "departure", "from_code", "to_code"],
+        ["route_idx", "set_idx", "interval_idx"], "seconds", "tt_seconds",
+        extra_aggs=(F.min(F.struct("route_idx", "set_idx", "interval_idx")).alias("tt_first"),))
+    per_line = halving_fold(
+        per_tt, ["line_code", "from_code", "to_code"], ["departure"], "tt_seconds", "seconds",
+        extra_aggs=(F.min(F.struct("departure", "tt_first")).alias("first_seen"),))
+    return per_line.select("line_code", "from_code", "to_code",
+                           F.col("seconds").cast("int").alias("seconds"), "first_seen")
 
 
 # --------------------------------------------------------------------------- C21 / C22

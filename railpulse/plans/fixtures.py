@@ -267,6 +267,71 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.unionByName(al).distinct()
 
 
+# --------------------------------------------------------------------------- XML messages
+def _esc(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.regexp_replace(c, a, b)
+    return c
+
+
+def _attr(name, c):
+    return F.concat(F.lit(f' {name}="'), _esc(c), F.lit('"'))
+
+
+def xml_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages (value + headers) assembled from predictions.
+
+    One document per (line, poll, station): ROOT/S/P/T with the rows'
+    attributes, plus a truncated copy of every tenth document and one empty
+    and one NULL document per line, which must give no rows.
+    """
+    p = predictions(spark, sf_dir)
+    t = p.select("line_code", "timestamp", "station_code", "station_name", "platform_name",
+                 "platform_code", "id", F.concat(
+                     F.lit("<T"), _attr("S", F.col("set_number")),
+                     _attr("T", F.col("trip_number")), _attr("C", F.col("time_to_station")),
+                     _attr("DE", F.col("destination")), _attr("L", F.col("current_location")),
+                     F.lit("/>")).alias("x"))
+    pk = ["line_code", "timestamp", "station_code", "station_name", "platform_name",
+          "platform_code"]
+    plat = t.groupBy(*pk).agg(F.min("id").alias("id"), F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("id", "x"))), lambda e: e["x"]), "").alias("b"))
+    plat = plat.select(*pk[:4], "id", F.concat(
+        F.lit("<P"), _attr("N", F.col("platform_name")), _attr("Code", F.col("platform_code")),
+        F.lit(">"), F.col("b"), F.lit("</P>")).alias("x"))
+    st = plat.groupBy(*pk[:4]).agg(F.min("id").alias("id"), F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("id", "x"))), lambda e: e["x"]), "").alias("b"))
+    doc = st.select("line_code", "timestamp", "id", F.concat(
+        F.lit("<ROOT><S"), _attr("Code", F.col("station_code")), _attr("N", F.col("station_name")),
+        F.lit(">"), F.col("b"), F.lit("</S></ROOT>")).alias("xml"))
+    bad = doc.filter(F.col("id") % 10 == 0).select(
+        "line_code", "timestamp", "id", F.substring("xml", 1, 30).alias("xml"))
+    lines = doc.select("line_code").distinct()
+    empty = lines.select("line_code", F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+                         F.lit(-1).cast("long").alias("id"), F.lit("").alias("xml"))
+    null = lines.select("line_code", F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+                        F.lit(-2).cast("long").alias("id"), F.lit(None).cast("string").alias("xml"))
+    allx = doc.unionByName(bad).unionByName(empty).unionByName(null)
+    hdr = F.array(
+        F.struct(F.lit("source").alias("key"), F.lit("fixture").cast("binary").alias("value")),
+        F.struct(F.lit("line_code").alias("key"), F.col("line_code").cast("binary").alias("value")),
+        F.struct(F.lit("timestamp").alias("key"),
+                 F.col("timestamp").cast("string").cast("binary").alias("value")),
+        F.struct(F.lit("content-type").alias("key"),
+                 F.lit("application/xml").cast("binary").alias("value")))
+    return allx.select(F.col("xml").cast("binary").alias("value"), hdr.alias("headers"),
+                       F.col("timestamp").cast("timestamp").alias("timestamp"))
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction row per (train, poll): the C2 order applied within each poll."""
+    from railpulse.functions.text import countdown_rank
+    p = predictions(spark, sf_dir)
+    w = Window.partitionBy("set_number", "line_code", "timestamp").orderBy(
+        countdown_rank("time_to_station"), "id")
+    return p.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
 # =========================================================================== SQL side
 # name -> (dependencies, CTE body).  ``{n}`` is the supplier count subquery.
 ADAPTER_SQL: dict[str, tuple[list[str], str]] = {}

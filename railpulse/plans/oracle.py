@@ -688,3 +688,23 @@ SELECT id, set_number, line_code, n AS overlap_count,
 FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n,
              row_number() OVER (PARTITION BY k ORDER BY set_number ASC NULLS FIRST, line_code ASC NULLS FIRST) - 1 AS i
       FROM (SELECT *, {fixed4_sql('lng')} || ',' || {fixed4_sql('lat')} AS k FROM features))""", EXTRA)
+
+# ---------------------------------------------------------------- flatten, retention, recency, stale
+ORACLE["q_flatten_xml"] = with_ctes(["predictions"], """
+SELECT station_code, station_name, platform_name, platform_code, trip_number, set_number,
+       time_to_station, destination, current_location, line_code FROM predictions""")
+
+AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
+ORACLE["q_retention"] = with_ctes(["predictions"], f"""
+SELECT count(*) FILTER (WHERE timestamp < {AS_OF} - INTERVAL '7 days') AS deleted_count,
+       count(*) FILTER (WHERE timestamp >= {AS_OF} - INTERVAL '7 days') AS kept_count
+FROM predictions""")
+ORACLE["q_recent_count"] = with_ctes(["predictions"], f"""
+SELECT count(*) FILTER (WHERE timestamp > {AS_OF} - INTERVAL '5 days') AS recent_rows,
+       count(*) AS total_rows FROM predictions""")
+ORACLE["q_stale_retention"] = with_ctes(["predictions"], """
+SELECT set_number, line_code, last_seen, last_seen <> newest AS stale
+FROM (SELECT set_number, line_code, max(timestamp) AS last_seen,
+             (SELECT max(timestamp) FROM predictions) AS newest
+      FROM predictions GROUP BY set_number, line_code)
+WHERE last_seen = newest OR epoch_ms(newest) - epoch_ms(last_seen) < 3 * 86400 * 1000""")

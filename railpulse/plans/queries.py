@@ -286,3 +286,42 @@ def q_overlap_spread(spark, sf_dir):
     return o.select("id", "set_number", "line_code", "overlap_count",
                     F.round("display_lat", 9).alias("display_lat"),
                     F.round("display_lng", 9).alias("display_lng"))
+
+
+# --------------------------------------------------------------------------- C1, C23, A13, C16, C15
+from railpulse.operators import flatten  # noqa: E402
+from railpulse.sinks import writers  # noqa: E402
+
+AS_OF = "2024-01-31 00:00:00"
+
+
+@query("q_flatten_xml")
+def q_flatten_xml(spark, sf_dir):
+    return flatten.flatten_predictions(fx.xml_messages(spark, sf_dir))
+
+
+@query("q_retention")
+def q_retention(spark, sf_dir):
+    return writers.retention_counts(fx.predictions(spark, sf_dir),
+                                    F.lit(AS_OF).cast("timestamp_ntz"), "7 days")
+
+
+@query("q_recent_count")
+def q_recent_count(spark, sf_dir):
+    return latest.recent_count(fx.predictions(spark, sf_dir),
+                               F.lit(AS_OF).cast("timestamp_ntz"), "5 days")
+
+
+@query("q_stale_retention")
+def q_stale_retention(spark, sf_dir):
+    # polls are one day apart in the fixture, so the 90 s TTL is scaled to 3 days
+    r = latest.with_retention(fx.snapshot_rows(spark, sf_dir), ttl_seconds=3 * 86400)
+    return r.select("set_number", "line_code", "last_seen", "stale")
+
+
+@query("q_eta_reconcile")
+def q_eta_reconcile(spark, sf_dir):
+    snaps = fx.snapshot_rows(spark, sf_dir)
+    pos = position.with_positions(snaps, fx.stations(spark, sf_dir), _edges(spark, sf_dir))
+    pos = pos.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    return trajectory.reconcile(trajectory.observations(pos))
