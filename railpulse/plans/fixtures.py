@@ -319,7 +319,8 @@ def xml_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("timestamp").cast("string").cast("binary").alias("value")),
         F.struct(F.lit("content-type").alias("key"),
                  F.lit("application/xml").cast("binary").alias("value")))
-    return allx.select(F.col("xml").cast("binary").alias("value"), hdr.alias("headers"),
+    return allx.select(F.lit(None).cast("binary").alias("key"),
+                       F.col("xml").cast("binary").alias("value"), hdr.alias("headers"),
                        F.col("timestamp").cast("timestamp").alias("timestamp"))
 
 
