@@ -24,7 +24,7 @@ def global_max_timestamp(df: DataFrame, ts_col: str = "timestamp"):
 
 
 def latest_positions(df: DataFrame, window: str = LATEST_WINDOW, line: str | None = None,
-                     batch_ts=None) -> DataFrame:
+                     batch_ts=None, partition_col: str = "ingest_date") -> DataFrame:
     """One row per (set_number, line_code): newest poll, then best countdown rank.
 
     Rows older than ``window`` behind the global newest timestamp are ignored.
@@ -39,7 +39,11 @@ def latest_positions(df: DataFrame, window: str = LATEST_WINDOW, line: str | Non
         batch_ts = global_max_timestamp(df)
     if batch_ts is None:
         return df.select(*VIEW_COLUMNS).limit(0)
-    recent = df.filter(F.col("timestamp") >= F.lit(batch_ts) - F.expr(f"INTERVAL {window}"))
+    lower = F.lit(batch_ts) - F.expr(f"INTERVAL {window}")
+    recent = df.filter(F.col("timestamp") >= lower)
+    if partition_col in df.columns:
+        # the fact table is partitioned by the date of ``timestamp``: prune whole days
+        recent = recent.filter(F.col(partition_col) >= F.to_date(lower))
     if line:
         recent = recent.filter(F.col("line_code") == line)
     order = [F.col("timestamp").desc(), countdown_rank("time_to_station").asc(),

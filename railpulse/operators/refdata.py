@@ -134,8 +134,7 @@ def build_edges(stops: DataFrame, line_map: DataFrame) -> DataFrame:
     pairs = s.filter(F.col("to_code").isNotNull()).withColumns({
         "pa": F.least("from_code", "to_code"), "pb": F.greatest("from_code", "to_code")})
     per_id = first_per_key(pairs, ["line_id", "pa", "pb"], ["seq_no", "i"])
-    per_id = per_id.join(F.broadcast(line_map.select("line_id", "line_code", "line_rank")),
-                         "line_id")
+    per_id = per_id.join(line_map.select("line_id", "line_code", "line_rank"), "line_id")
     per_code = first_per_key(per_id.drop("pa", "pb"), ["line_code", "from_code", "to_code"],
                              ["line_rank", "seq_no", "i"])
     geo = (_truthy_num(F.col("from_lat")) & _truthy_num(F.col("from_lng"))

@@ -92,7 +92,7 @@ def timetable_intervals(spark: SparkSession, path: str, line_map: DataFrame) ->
                  F.posexplode("r.stationIntervals").alias("set_idx", "si"))
     d = d.select("line_id", "departure", "route_idx", "set_idx",
                  F.posexplode("si.intervals").alias("interval_idx", "iv"))
-    d = d.join(F.broadcast(line_map.select("line_id", "line_code")), "line_id")
+    d = d.join(line_map.select("line_id", "line_code"), "line_id")
     return d.select("line_code", "departure", "route_idx", "set_idx", "interval_idx",
                     F.col("iv.stopId").alias("stop_id"),
                     F.col("iv.timeToArrival").alias("time_to_arrival"))
