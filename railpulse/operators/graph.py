@@ -99,4 +99,4 @@ def neighbour_table(edges: DataFrame) -> DataFrame:
     nb = neighbours(edges)
     w = Window.partitionBy("line_code", "station_code").orderBy("ord")
     return nb.select("line_code", "station_code", "nb_code", "nb_lat", "nb_lng", "travel_time",
-                     F.row_number().over(w).alias("nb_rank"))
+                     F.row_number().over(w).cast("bigint").alias("nb_rank"))

@@ -88,7 +88,7 @@ def station_issues(candidates: DataFrame) -> DataFrame:
     return (candidates.select("doc_idx", "sp_idx", "code", "name",
                               F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("i"))
             .select("doc_idx", "sp_idx", "code", "name", F.col("i.issue").alias("issue"),
-                    F.col("i.length").alias("length")))
+                    F.col("i.length").cast("bigint").alias("length")))
 
 
 def station_quality(candidates: DataFrame) -> DataFrame:
@@ -97,8 +97,8 @@ def station_quality(candidates: DataFrame) -> DataFrame:
     nl = F.length(F.coalesce(F.col("name"), F.lit("")))
     return candidates.agg(
         F.count(F.lit(1)).alias("n_stations"),
-        F.coalesce(F.max(cl), F.lit(0)).alias("max_code_len"),
-        F.coalesce(F.max(nl), F.lit(0)).alias("max_name_len"),
+        F.coalesce(F.max(cl), F.lit(0)).cast("bigint").alias("max_code_len"),
+        F.coalesce(F.max(nl), F.lit(0)).cast("bigint").alias("max_name_len"),
         F.count_if(cl > MAX_CODE_LEN).alias("n_code_too_long"),
         F.count_if(nl > MAX_NAME_LEN).alias("n_name_too_long"),
         F.count_if(cl == 0).alias("n_missing_code"),
