@@ -98,3 +98,49 @@ def test_reconcile_stream_state(spark, tmp_dir):
         assert abs(r.data_ts_ms - st["data_ts_ms"]) == 0
         assert r.station_name == st["station_name"]
         assert abs((r.eta_s if r.eta_s == r.eta_s else -1) - (st["eta_s"] if st["eta_s"] is not None else -1)) < 1e-9
+
+
+def test_xml_landing_dir_and_stream_static_positions(spark, tmp_dir):
+    from railpulse.operators import position
+    from railpulse.plans import queries as Q
+    land, sink, ck = (os.path.join(tmp_dir, x) for x in ("xml", "pos", "ck"))
+    os.makedirs(land)
+    docs = {
+        "N_0001.xml": '<ROOT><S Code="ST1" N="Supplier#000000001"><P N="Platform 1" Code="1">'
+                      '<T S="7" T="1" C="0:30" DE="Supplier#000000002" '
+                      'L="Between Supplier#000000001 and Supplier#000000004"/>'
+                      '<T S="8" T="2" C="-" DE="Supplier#000000003" L="At Platform"/></P></S></ROOT>',
+        "A_0002.xml": '<ROOT><S Code="ST4" N="Supplier#000000004"><P N="P2" Code="2">'
+                      '<T S="9" T="3" C="due" DE="Supplier#000000005" L="Approaching Supplier#000000004"/>'
+                      '</P></S></ROOT>',
+        "A_0003.xml": "<ROOT><S Code=",
+    }
+    for n, x in docs.items():
+        with open(os.path.join(land, n), "w") as f:
+            f.write(x)
+    raw = readers.xml_snapshots(spark, land)
+    rows = flatten.flatten_predictions(raw).collect()
+    assert sorted((r.set_number, r.line_code) for r in rows) == [("7", "N"), ("8", "N"), ("9", "A")]
+
+    stations = fx.stations(spark, SMALL)
+    edges = Q._edges(spark, SMALL)
+
+    def job(batch, st, e):
+        b = batch.select(
+            F.monotonically_increasing_id().alias("id"), "set_number", "trip_number", "line_code",
+            "station_code", "station_name", "platform_name", "current_location",
+            "time_to_station", "destination",
+            F.lit(None).cast("double").alias("calculated_lat"),
+            F.lit(None).cast("double").alias("calculated_lng"),
+            F.lit(None).cast("string").alias("heading"),
+            F.current_timestamp().cast("timestamp_ntz").alias("timestamp"))
+        return position.with_positions(b, st, e, validate=False).select(
+            "set_number", "line_code", "lat", "lng", "position_confidence")
+
+    stream_rows = flatten.flatten_predictions(readers.xml_snapshots(spark, land, stream=True))
+    q = ingest.start_positions(stream_rows, lambda: (stations, edges), job, sink, ck, trigger=ONCE)
+    q.awaitTermination()
+    out = {r.set_number: r for r in spark.read.parquet(sink).collect()}
+    assert set(out) == {"7", "8", "9"}
+    assert out["7"].position_confidence == "interpolated"      # between, 0:30 known
+    assert out["8"].position_confidence == "exact"             # At Platform -> platform station
