@@ -36,32 +36,46 @@ def _name(text: Column, pattern: str, group: int = 1) -> Column:
     return blank_to_null(clean_location_name(F.regexp_extract(text, pattern, group)))
 
 
+_PATTERNS = [("between", RE_BETWEEN), ("at_platform", RE_AT_PLATFORM), ("at", RE_AT),
+             ("appr", RE_APPROACHING), ("left", RE_LEFT), ("leaving", RE_LEAVING),
+             ("held", RE_HELD)]
+
+
 def location_columns(text) -> dict[str, Column]:
-    """``loc_type``, ``loc_station1``, ``loc_station2`` for a location text column."""
+    """``loc_type``, ``loc_station1``, ``loc_station2`` for a location text column.
+
+    Single-expression form (each regex may be evaluated more than once);
+    ``with_location`` evaluates every pattern once in a projection of its own.
+    """
     t = F.col(text) if isinstance(text, str) else text
-    blank = t.isNull() | (js_trim(t) == "")
-    m_between = t.rlike(RE_BETWEEN)
-    m_at_platform = t.rlike(RE_AT_PLATFORM)
-    m_at = t.rlike(RE_AT)
-    m_appr = t.rlike(RE_APPROACHING)
-    m_left = t.rlike(RE_LEFT)
-    m_leaving = t.rlike(RE_LEAVING)
-    m_held = t.rlike(RE_HELD)
-    loc_type = (F.when(blank, "unknown").when(m_between, "between").when(m_at_platform, "at")
-                .when(m_at, "at").when(m_appr, "approaching").when(m_left, "left")
-                .when(m_leaving, "left").when(m_held, "at").otherwise("unknown"))
-    s1 = (F.when(blank, None).when(m_between, _name(t, RE_BETWEEN, 1))
-          .when(m_at_platform, None)
-          .when(m_at, _name(t, RE_AT)).when(m_appr, _name(t, RE_APPROACHING))
-          .when(m_left, _name(t, RE_LEFT)).when(m_leaving, _name(t, RE_LEAVING))
-          .when(m_held, _name(t, RE_HELD)))
-    s2 = F.when(~blank & m_between, _name(t, RE_BETWEEN, 2))
+    flags = {f"_m_{k}": t.rlike(p) for k, p in _PATTERNS}
+    flags["_m_blank"] = t.isNull() | (js_trim(t) == "")
+    return _typed(t, flags)
+
+
+def _typed(t: Column, m) -> dict[str, Column]:
+    blank = m["_m_blank"]
+    loc_type = (F.when(blank, "unknown").when(m["_m_between"], "between")
+                .when(m["_m_at_platform"], "at").when(m["_m_at"], "at")
+                .when(m["_m_appr"], "approaching").when(m["_m_left"], "left")
+                .when(m["_m_leaving"], "left").when(m["_m_held"], "at").otherwise("unknown"))
+    s1 = (F.when(blank, None).when(m["_m_between"], _name(t, RE_BETWEEN, 1))
+          .when(m["_m_at_platform"], None)
+          .when(m["_m_at"], _name(t, RE_AT)).when(m["_m_appr"], _name(t, RE_APPROACHING))
+          .when(m["_m_left"], _name(t, RE_LEFT)).when(m["_m_leaving"], _name(t, RE_LEAVING))
+          .when(m["_m_held"], _name(t, RE_HELD)))
+    s2 = F.when(~blank & m["_m_between"], _name(t, RE_BETWEEN, 2))
     return {"loc_type": loc_type, "loc_station1": s1, "loc_station2": s2}
 
 
 def with_location(df: DataFrame, text: str = "current_location") -> DataFrame:
-    cols = location_columns(text)
-    return df.withColumns(cols)
+    """Add the parsed location; match flags are computed once, then dropped."""
+    t = F.col(text)
+    flags = {f"_m_{k}": t.rlike(p) for k, p in _PATTERNS}
+    flags["_m_blank"] = t.isNull() | (js_trim(t) == "")
+    d = df.withColumns(flags)
+    d = d.withColumns(_typed(t, {k: F.col(k) for k in flags}))
+    return d.drop(*flags)
 
 
 def next_station_label(loc_type: Column, s1: Column, s2: Column, fallback: Column) -> Column:

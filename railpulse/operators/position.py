@@ -20,7 +20,7 @@ from railpulse.functions.constants import (DEFAULT_FRACTION_APPROACHING,
                                            DEFAULT_TRAVEL_TIME_SECONDS)
 from railpulse.functions.text import countdown_seconds, js_trim, strip_trailing_dot
 from railpulse.operators import graph
-from railpulse.operators.location import location_columns
+from railpulse.operators.location import with_location
 from railpulse.operators.names import resolve_names
 from railpulse.session import materialize
 
@@ -96,7 +96,7 @@ def position_context(df: DataFrame, stations: DataFrame, edges: DataFrame,
     string on its own; both together are the diagnostic endpoint's mode.
     """
     spark = df.sparkSession
-    d = df.withColumns(location_columns("current_location"))
+    d = with_location(df, "current_location")
     d = d.withColumns({
         "_sn_ok": _truthy(F.col("station_name")),
         "_dn_ok": _truthy(F.col("destination")),
@@ -194,8 +194,40 @@ def _pos(lat: Column, lng: Column, conf: Column) -> Column:
     return F.struct(lat.alias("lat"), lng.alias("lng"), conf.alias("confidence"))
 
 
-def calculated_position(use_line: bool = True) -> Column:
-    """The position truth table as one struct expression (lat, lng, confidence)."""
+_STAGED = ["_prev", "_tow", "_segx", "_f_a", "_f_t", "_f_n", "_f_b"]
+
+
+def add_calculated_position(d: DataFrame) -> DataFrame:
+    """Add ``calc`` (lat, lng, confidence) from the position truth table.
+
+    Neighbour choices and fractions are staged as columns first so every
+    sub-expression is generated once (the one-expression form exceeds the
+    JVM method size limit of whole-stage code generation).
+    """
+    rp, nb1, nb2 = F.col("rp"), F.col("nb1"), F.col("nb2")
+    secs = F.col("secs")
+    d = d.withColumns({
+        # approaching: first neighbour that is not the platform station
+        "_prev": F.when(rp.isNotNull() & (nb1["code"] == rp["code"]) & nb2.isNotNull(), nb2)
+                  .otherwise(nb1),
+        # left: toward the platform station if it is a neighbour
+        "_tow": F.when(rp.isNotNull(), F.col("nbx")),
+        # between: the line's edge, else any line's edge
+        "_segx": F.when(F.col("_has_line") & F.col("seg").isNotNull(), F.col("seg"))
+                  .otherwise(F.col("seg_any")),
+    })
+    d = d.withColumns({
+        "_f_a": _fraction(secs, F.col("_prev.tt"), DEFAULT_FRACTION_APPROACHING),
+        "_f_t": _fraction(secs, F.col("_tow.tt"), DEFAULT_FRACTION_LEFT),
+        "_f_n": _fraction(secs, nb1["tt"], DEFAULT_FRACTION_LEFT),
+        "_f_b": _fraction(secs, F.coalesce(F.col("_segx.tt"),
+                                           F.lit(DEFAULT_TRAVEL_TIME_SECONDS)),
+                          DEFAULT_FRACTION_BETWEEN),
+    })
+    return d.withColumn("calc", _calculated_position()).drop(*_STAGED)
+
+
+def _calculated_position() -> Column:
     t = F.col("loc_type")
     s1, s2 = F.col("loc_station1"), F.col("loc_station2")
     r1, r2, rp = F.col("r1"), F.col("r2"), F.col("rp")
@@ -204,40 +236,26 @@ def calculated_position(use_line: bool = True) -> Column:
     est = F.lit("estimated")
     platform = F.when(F.col("_sn_ok") & rp.isNotNull(), _pos(rp["lat"], rp["lng"], est))
 
-    # at
     at_st = F.when(s1.isNotNull(), r1).otherwise(F.when(F.col("_sn_ok"), rp))
     at_pos = F.when(at_st.isNotNull(), _pos(at_st["lat"], at_st["lng"], F.lit("exact")))
 
-    # approaching: from the first neighbour that is not the platform station
-    nb1, nb2 = F.col("nb1"), F.col("nb2")
-    prev = F.when(rp.isNotNull() & (nb1["code"] == rp["code"]) & nb2.isNotNull(), nb2
-                  ).otherwise(nb1)
-    f_a = _fraction(secs, prev["tt"], DEFAULT_FRACTION_APPROACHING)
-    la, ga = _interp(prev["lat"], prev["lng"], r1["lat"], r1["lng"], f_a)
+    prev, nb1, tow = F.col("_prev"), F.col("nb1"), F.col("_tow")
+    la, ga = _interp(prev["lat"], prev["lng"], r1["lat"], r1["lng"], F.col("_f_a"))
     appr_ok = r1.isNotNull() & F.col("on1")
     appr_pos = (F.when(s1.isNull(), None)
                 .when(~appr_ok, platform)
                 .when(nb1.isNotNull(), _pos(la, ga, conf))
                 .otherwise(_pos(r1["lat"], r1["lng"], est)))
 
-    # left: toward the platform station if adjacent, else the first neighbour
-    tow = F.when(rp.isNotNull(), F.col("nbx"))
-    f_t = _fraction(secs, tow["tt"], DEFAULT_FRACTION_LEFT)
-    lt, gt = _interp(r1["lat"], r1["lng"], rp["lat"], rp["lng"], f_t)
-    f_n = _fraction(secs, nb1["tt"], DEFAULT_FRACTION_LEFT)
-    ln, gn = _interp(r1["lat"], r1["lng"], nb1["lat"], nb1["lng"], f_n)
+    lt, gt = _interp(r1["lat"], r1["lng"], rp["lat"], rp["lng"], F.col("_f_t"))
+    ln, gn = _interp(r1["lat"], r1["lng"], nb1["lat"], nb1["lng"], F.col("_f_n"))
     left_pos = (F.when(s1.isNull(), None)
                 .when(~appr_ok, platform)
                 .when(tow.isNotNull(), _pos(lt, gt, conf))
                 .when(nb1.isNotNull(), _pos(ln, gn, conf))
                 .otherwise(_pos(r1["lat"], r1["lng"], est)))
 
-    # between: segment time from the line's edge, else any line's, default 120
-    seg = (F.when(F.col("_has_line") & F.col("seg").isNotNull(), F.col("seg"))
-           .otherwise(F.col("seg_any")))
-    tt = F.coalesce(seg["tt"], F.lit(DEFAULT_TRAVEL_TIME_SECONDS))
-    f_b = _fraction(secs, tt, DEFAULT_FRACTION_BETWEEN)
-    lb, gb = _interp(r1["lat"], r1["lng"], r2["lat"], r2["lng"], f_b)
+    lb, gb = _interp(r1["lat"], r1["lng"], r2["lat"], r2["lng"], F.col("_f_b"))
     betw_ok = r1.isNotNull() & r2.isNotNull() & F.col("on1") & F.col("on2")
     betw_pos = (F.when(s1.isNull() | s2.isNull(), None)
                 .when(~betw_ok, platform)
@@ -274,7 +292,7 @@ def with_positions(latest_rows: DataFrame, stations: DataFrame, edges: DataFrame
     d = position_context(latest_rows, stations, edges)
     if validate:
         d = d.filter(line_valid(d))
-    d = d.withColumn("calc", calculated_position())
+    d = add_calculated_position(d)
     precalc = (F.col("calculated_lat").isNotNull() & (F.col("calculated_lat") != 0)
                & F.col("calculated_lng").isNotNull() & (F.col("calculated_lng") != 0))
     ts = F.col("to_st")
@@ -323,7 +341,7 @@ def position_stats(positioned: DataFrame) -> DataFrame:
 def coverage(latest_rows: DataFrame, stations: DataFrame, edges: DataFrame) -> DataFrame:
     """Per-train diagnosis; runs without line code (neighbours span all lines)."""
     d = position_context(latest_rows, stations, edges, use_line=False, direct_names=True)
-    d = d.withColumn("calc", calculated_position(use_line=False))
+    d = add_calculated_position(d)
     has_pre = (F.col("calculated_lat").isNotNull() & (F.col("calculated_lat") != 0)
                & F.col("calculated_lng").isNotNull() & (F.col("calculated_lng") != 0))
     loc = F.coalesce(F.col("current_location"), F.lit("null"))
