@@ -80,7 +80,7 @@ def clear_tables() -> None:
 
 def _stored(spark, sf_dir, name, build):
     """A derived dimension written once per session and input folder, then scanned."""
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
         _TABLES[key] = materialize(build(), name)
     return _TABLES[key]
