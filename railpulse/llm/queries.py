@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe
+from railpulse.llm import byte_bpe, histogram_packing
 from railpulse.llm.common import table
 
 
@@ -22,8 +22,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids cut into pieces and packed into sequences of 1024."""
+
+    def derive(cut_up: DataFrame) -> DataFrame:
+        return cut_up.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return histogram_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), seq_len=1024, end_id=0, derive=derive)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op9_histogram_packing": op9_histogram_packing,
 }
 
 ORACLE: dict[str, str] = {}
