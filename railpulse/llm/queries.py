@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe, histogram_packing
-from railpulse.llm.common import table
+from railpulse.llm import byte_bpe, compress_quality, histogram_packing, subword_langid
+from railpulse.llm.common import held_out, table
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compress_quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~held_out())
+    return compress_quality.predict(docs, model, threshold=0.7).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = subword_langid.fit(docs, ~held_out())
+    return subword_langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids cut into pieces and packed into sequences of 1024."""
 
@@ -34,6 +48,8 @@ def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_compress_quality": op5_compress_quality,
+    "op6_subword_langid": op6_subword_langid,
     "op9_histogram_packing": op9_histogram_packing,
 }
 
