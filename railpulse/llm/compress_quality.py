@@ -1,7 +1,7 @@
 """Quality classifier by compression: which of two zstandard dictionaries shortens a text more.
 
-One dictionary is built from text labelled good, one from text labelled bad.  A
-text is compressed in blocks of ``block_bytes`` (all of it, block by block, so a
+One dictionary is built from text labelled good, one from text labelled bad;
+lines that both samples hold tell nothing and go into neither.  A text is compressed in blocks of ``block_bytes`` (all of it, block by block, so a
 long text cannot become its own dictionary) once with each.  The normalised
 difference of the sizes is
 
@@ -12,7 +12,7 @@ into the probability that the text is good.  The curve has a second term,
 ``short_bytes / (bytes + short_bytes)``, because few bytes are little evidence.
 
 Training is bounded: from each class at most ``dict_docs`` documents give blocks
-for the dictionary (``blocks_per_doc`` blocks spread evenly over each) and at most
+for the dictionary (``blocks_per_doc`` pieces of lines spread evenly over each) and at most
 ``curve_docs`` others one feature each; they are those with the smallest hash of
 doc_id.  Only those blocks and numbers reach the driver.  Class frequencies, which
 set the curve's base rate, are counted over all labels that may be learnt from.
@@ -40,8 +40,8 @@ class Settings:
     block_bytes: int = 512
     dict_bytes: int = 110_000
     level: int = 3
-    dict_docs: int = 600
-    blocks_per_doc: int = 12
+    dict_docs: int = 800
+    blocks_per_doc: int = 16
     curve_docs: int = 1500
     short_bytes: int = 256
     seed: int = 5
@@ -62,6 +62,11 @@ def _blocks(data: bytes, size: int) -> list[bytes]:
     return [data[k:k + size] for k in range(0, len(data), size)]
 
 
+def _line_blocks(text: str | None, size: int) -> list[bytes]:
+    """The lines of a text, long ones cut: equal lines of two texts give equal pieces."""
+    return [b for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n") for b in _blocks(line, size)]
+
+
 def _spread(blocks: list[bytes], n: int) -> list[bytes]:
     """At most n of the blocks, evenly spaced from first to last."""
     return [blocks[k] for k in sorted({int(k) for k in np.linspace(0, len(blocks) - 1, n)})] if blocks else []
@@ -134,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
 
     def some_blocks(batches):
         for batch in batches:
-            found = [(label, place, block) for text, label, place in zip(*(batch.column(k).to_pylist() for k in range(3))) for block in _spread(_blocks((text or "").encode("utf-8", "surrogatepass"), settings.block_bytes), settings.blocks_per_doc)]
+            found = [(label, place, block) for text, label, place in zip(*(batch.column(k).to_pylist() for k in range(3))) for block in _spread(_line_blocks(text, settings.block_bytes), settings.blocks_per_doc)]
             label, place, block = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(place, pa.int32()), pa.array(block, pa.binary())], names=["label", "place", "block"])
 
@@ -143,6 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     if not own[0] or not own[1]:
         rate = min(max(rate, 1e-6), 1 - 1e-6)
         return Model(b"", b"", np.array([0.0, 0.0, np.log(rate / (1 - rate))]), settings)
+    both = set(own[0]) & set(own[1])
+    if both < set(own[0]) and both < set(own[1]):
+        own = {k: [b for b in blocks if b not in both] for k, blocks in own.items()}
     model = Model(dictionary(own[1], settings), dictionary(own[0], settings), np.zeros(3), settings)
     shared = spark.sparkContext.broadcast(model)
 
