@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe, compress_quality, histogram_packing, subword_langid
+from railpulse.llm import byte_bpe, compress_quality, histogram_packing, subword_langid, trie_join
 from railpulse.llm.common import held_out, table
 
 
@@ -46,11 +46,18 @@ def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), seq_len=1024, end_id=0, derive=derive)
 
 
+def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document: five-word shingles, Jaccard 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return trie_join.near_copies(docs, words=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_compress_quality": op5_compress_quality,
     "op6_subword_langid": op6_subword_langid,
     "op9_histogram_packing": op9_histogram_packing,
+    "op10_trie_join": op10_trie_join,
 }
 
 ORACLE: dict[str, str] = {}
