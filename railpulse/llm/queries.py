@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe, compress_quality, histogram_packing, subword_langid, trie_join
+from railpulse.llm import byte_bpe, compress_quality, histogram_packing, pii_bootstrap, subword_langid, trie_join
 from railpulse.llm.common import held_out, table
 
 
@@ -22,6 +22,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base patterns, and what patterns learnt from their contexts add."""
+    found = pii_bootstrap.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in pii_bootstrap.KINDS], F.sha2(pii_bootstrap.joined(base), 256).alias("base_sha256"), pii_bootstrap.joined(F.col("spans")).alias("spans"))
+
+
 def op5_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from labelled documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +62,7 @@ def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_pii_bootstrap": op4_pii_bootstrap,
     "op5_compress_quality": op5_compress_quality,
     "op6_subword_langid": op6_subword_langid,
     "op9_histogram_packing": op9_histogram_packing,
