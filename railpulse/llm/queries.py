@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe, compress_quality, histogram_packing, pii_bootstrap, subword_langid, trie_join
+from railpulse.llm import byte_bpe, compress_quality, histogram_packing, permutation_index, pii_bootstrap, segment_topk, subword_langid, trie_join
 from railpulse.llm.common import held_out, table
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every vector whose id is divisible by 50."""
+    return permutation_index.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the rank file, and digests of them and of the bytes they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +49,11 @@ def op6_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty highest integer products for every vector whose id is divisible by 20."""
+    return segment_topk.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids cut into pieces and packed into sequences of 1024."""
 
@@ -61,10 +71,12 @@ def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_permutation_index": op2_permutation_index,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pii_bootstrap": op4_pii_bootstrap,
     "op5_compress_quality": op5_compress_quality,
     "op6_subword_langid": op6_subword_langid,
+    "op7_segment_topk": op7_segment_topk,
     "op9_histogram_packing": op9_histogram_packing,
     "op10_trie_join": op10_trie_join,
 }
