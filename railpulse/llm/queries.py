@@ -6,10 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe, compress_quality, histogram_packing, permutation_index, pii_bootstrap, segment_topk, subword_langid, trie_join
+from railpulse.llm import byte_bpe, compress_quality, histogram_packing, license_dice, permutation_index, pii_bootstrap, segment_topk, subword_langid, trie_join, url_templates
 from railpulse.llm.common import held_out, table
 
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    found = url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every vector whose id is divisible by 50."""
     return permutation_index.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
@@ -54,6 +69,11 @@ def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and lines of every document that match a licence template."""
+    return license_dice.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+
+
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids cut into pieces and packed into sequences of 1024."""
 
@@ -71,14 +91,39 @@ def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_templates": op1_url_templates,
     "op2_permutation_index": op2_permutation_index,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pii_bootstrap": op4_pii_bootstrap,
     "op5_compress_quality": op5_compress_quality,
     "op6_subword_langid": op6_subword_langid,
     "op7_segment_topk": op7_segment_topk,
+    "op8_license_dice": op8_license_dice,
     "op9_histogram_packing": op9_histogram_packing,
     "op10_trie_join": op10_trie_join,
 }
 
-ORACLE: dict[str, str] = {}
+def _op8_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in license_dice.TEMPLATES.items())
+    norm = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    grams = "CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
+    return f"""
+WITH t AS (SELECT license, {grams} AS tb FROM (SELECT license, string_split({norm.format('text')}, ' ') AS w FROM (VALUES {values}) AS v(license, text))),
+lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, 0 AS line, text AS unit FROM lines
+  UNION ALL
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS unit FROM lines WHERE len(l) > 1),
+u AS (SELECT doc_id, line, {grams} AS ub FROM (SELECT doc_id, line, string_split({norm.format('unit')}, ' ') AS w FROM units) WHERE w[1] <> ''),
+m AS (
+  SELECT doc_id, line, license, len(ub) AS n, len(tb) AS b, len(list_intersect(ub, tb)) AS shared
+  FROM u JOIN t ON len(ub) BETWEEN ceil(len(tb) * (0.8 / 1.2) - 1e-9) AND floor(len(tb) * (1.2 / 0.8) + 1e-9))
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, round(2.0 * shared / (n + b), 6) AS dice, CAST(n AS INTEGER) AS n_bigrams
+FROM m WHERE CAST(2 * shared AS DOUBLE) / (n + b) >= 0.8
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op8_license_dice": _op8_sql(),
+}
