@@ -44,7 +44,7 @@ class Settings:
     max_gram: int = 4
     per_lang: int = 600
     max_langs: int = 256
-    epochs: int = 12
+    steps: int = 1500
     batch: int = 16
     rate: float = 20.0
     calibration_share: float = 0.25
@@ -174,12 +174,13 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings = S
     weight = np.zeros((settings.dims, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
     learn = np.flatnonzero(~held)
-    steps = max(1, settings.epochs * -(-len(learn) // settings.batch))
     step = 0
-    for _ in range(settings.epochs):
+    while step < settings.steps:  # as many steps whatever the size of the sample
         order = rng.permutation(learn)
         for k in range(0, len(order), settings.batch):
-            rate = settings.rate * (1 - step / steps) / settings.batch
+            if step == settings.steps:
+                break
+            rate = settings.rate * (1 - step / settings.steps) / settings.batch
             step += 1
             own = order[k:k + settings.batch]
             mean = np.stack([(n / n.sum()).astype(np.float32) @ emb[at] for _, at, n in (rows[i] for i in own)])
