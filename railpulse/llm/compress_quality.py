@@ -113,19 +113,27 @@ def _samples(labels: DataFrame, settings: Settings, learn: Column, label: str) -
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of the logistic curve, by Newton steps with a small ridge."""
-    scale = np.append(np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0), 1.0)
-    a = np.column_stack([x, np.ones(len(x))]) / scale
+    """Weights of the logistic curve: Newton steps with a ridge, halved while the loss would grow."""
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), (1e-3, 0.05))
+    a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge = np.array([0.1, 0.1, 1e-6])
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (ridge * b * b).sum() / 2)
+
     b = np.zeros(a.shape[1])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + 1e-3 * b
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(len(b))
+        grad = a.T @ (weight * (p - y)) + ridge * b
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
-        b -= np.clip(step, -5, 5)
+        while loss(b - step) > loss(b) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        b = b - step
         if np.abs(step).max() < 1e-9:
             break
-    return b / scale
+    return np.append(b[:2] / scale, b[2] - (b[:2] * mean / scale).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings(), label: str = "quality") -> Model:
