@@ -1,8 +1,9 @@
 """Column expressions for the text rules (all JVM built-ins, codegen-friendly).
 
 Regexes use Java syntax.  ``\\z`` replaces ``$`` where the source rule means
-"end of input" (Java's ``$`` also matches before a final line break), and
-whitespace trimming uses ``\\s`` because Spark's ``trim`` strips spaces only.
+"end of input" (Java's ``$`` also matches before a final line break).  Trimming
+uses an explicit class: Spark's ``trim`` strips spaces only and Java's ``\\s`` no
+blanks beyond ASCII.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 from railpulse.functions.constants import UNKNOWN_COUNTDOWN_RANK
 
 
+# Fixed value: the blanks of Unicode that the source's trim removes.
+BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def js_trim(c) -> Column:
     """Strip leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+\z", "")
+    return F.regexp_replace(_c(c), rf"^{BLANK}+|{BLANK}+\z", "")
 
 
 def strip_trailing_dot(c) -> Column:
@@ -39,7 +44,9 @@ def countdown_rank(c) -> Column:
     secs = F.split_part(c, F.lit(":"), F.lit(2)).try_cast("bigint")
     return (F.when(c == "-", F.lit(0).cast("bigint"))
             .when(F.lower(c) == "due", F.lit(1).cast("bigint"))
-            .when(c.rlike(r"^[0-9]+:[0-9]+\z"), F.lit(2) + mins * 60 + secs)
+            .when(c.rlike(r"^[0-9]+:[0-9]+\z"), F.coalesce(  # digits beyond a bigint: as unreadable
+                F.try_add(F.try_add(F.try_multiply(mins, F.lit(60)), secs), F.lit(2)),
+                F.lit(UNKNOWN_COUNTDOWN_RANK).cast("bigint")))
             .otherwise(F.lit(UNKNOWN_COUNTDOWN_RANK).cast("bigint")))
 
 
@@ -48,7 +55,7 @@ def countdown_seconds(c) -> Column:
     c = _c(c)
     m = F.regexp_extract(c, r"^([0-9]+):([0-9]+)\z", 1).try_cast("bigint")
     s = F.regexp_extract(c, r"^([0-9]+):([0-9]+)\z", 2).try_cast("bigint")
-    return F.when(c.rlike(r"^[0-9]+:[0-9]+\z"), m * 60 + s)
+    return F.when(c.rlike(r"^[0-9]+:[0-9]+\z"), F.try_add(F.try_multiply(m, F.lit(60)), s))
 
 
 def clean_location_name(c) -> Column:

@@ -74,13 +74,25 @@ def train_features(predictions: DataFrame, stations: DataFrame, edges: DataFrame
 
 def to_geojson(features: DataFrame, lng: str = "lng", lat: str = "lat",
                props: list[str] | None = None) -> DataFrame:
-    """One GeoJSON Point feature per row as JSON text."""
+    """One GeoJSON Point feature per row as JSON text; null properties stay as nulls."""
     props = props or [c for c in features.columns if c not in (lng, lat)]
-    return features.select(F.to_json(F.struct(
+    return _feature(features, "Point", F.array(F.col(lng), F.col(lat)), props)
+
+
+def segments_to_geojson(segments: DataFrame, start: tuple[str, str] = ("from_lng", "from_lat"),
+                        end: tuple[str, str] = ("to_lng", "to_lat"),
+                        props: list[str] | None = None) -> DataFrame:
+    """One GeoJSON LineString feature per line segment as JSON text."""
+    props = props or [c for c in segments.columns if c not in (*start, *end)]
+    return _feature(segments, "LineString", F.array(F.array(*start), F.array(*end)), props)
+
+
+def _feature(df: DataFrame, kind: str, coordinates, props: list[str]) -> DataFrame:
+    return df.select(F.to_json(F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(F.lit("Point").alias("type"),
-                 F.array(F.col(lng), F.col(lat)).alias("coordinates")).alias("geometry"),
-        F.struct(*[F.col(c) for c in props]).alias("properties"))).alias("feature"))
+        F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"),
+        F.struct(*[F.col(c) for c in props]).alias("properties")),
+        {"ignoreNullFields": "false"}).alias("feature"))
 
 
 # --------------------------------------------------------------------------- C11

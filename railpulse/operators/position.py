@@ -363,7 +363,9 @@ def coverage(latest_rows: DataFrame, stations: DataFrame, edges: DataFrame) -> D
 
 
 def coverage_summary(diag: DataFrame, line: str | None = None) -> DataFrame:
-    """Total, visible, missing, duplicate set numbers."""
+    """Total, visible, missing, duplicate set numbers, of one line or of all."""
+    if line:
+        diag = diag.filter(F.col("line_code") == line)
     return diag.agg(
         F.count(F.lit(1)).alias("total_trains_in_db"),
         F.count_if("will_show_on_map").alias("visible_on_map"),

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def n_suppliers(spark: SparkSession, sf_dir: str) -> int:
-    # One scalar; Parquet answers COUNT from footers.
+    # One scalar.
     return table(spark, sf_dir, "supplier").count()
 
 
@@ -137,12 +137,18 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- routes
+def _on_line(li: DataFrame) -> DataFrame:
+    """``lineitem`` with a supplier off its line (see ``stations``) replaced by a neighbouring one on it."""
+    k = F.col("l_suppkey")
+    off = (k + _line_idx(F.col("l_returnflag"))) % 3 == 0
+    return li.withColumn("l_suppkey", F.when(off, F.when(k > 1, k - 1).otherwise(k + 1)).otherwise(k))
+
+
 def route_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat route stops: line_id, line_code, seq_no, pos, stationId, id, name, lat, lon."""
     li = table(spark, sf_dir, "lineitem")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    idx = _line_idx(F.col("l_returnflag"))
-    kept = li.filter((F.col("l_suppkey") + idx) % 3 != 0)
+    kept = _on_line(li)
     w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy(*TOT)
     kept = kept.withColumn("pos", F.row_number().over(w))
     k = F.col("l_suppkey")
@@ -177,8 +183,7 @@ def timetable_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cumulative value is exact before the final division.
     """
     li = table(spark, sf_dir, "lineitem")
-    idx = _line_idx(F.col("l_returnflag"))
-    kept = li.filter((F.col("l_suppkey") + idx) % 3 != 0)
+    kept = _on_line(li)
     w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy(*TOT)
     tenths = F.when(F.col("l_quantity") % 7 == 0, F.lit(0)).otherwise(
         (F.col("l_quantity") * 10).cast("long"))
@@ -396,8 +401,9 @@ LEFT JOIN supplier y ON y.s_suppkey = e.y_key""")
 _KEPT_SQL = """
 SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_orderkey
           ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS pos
-FROM lineitem
-WHERE (l_suppkey + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END) % 3 <> 0"""
+FROM (SELECT * REPLACE (CASE WHEN (l_suppkey + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END) % 3 <> 0
+                             THEN l_suppkey WHEN l_suppkey > 1 THEN l_suppkey - 1 ELSE l_suppkey + 1 END AS l_suppkey)
+      FROM lineitem)"""
 
 ADAPTER_SQL["route_stops"] = ([], f"""
 SELECT l_returnflag || CAST((l_orderkey // 10) % 2 AS VARCHAR) AS line_id,

@@ -708,3 +708,12 @@ FROM (SELECT set_number, line_code, max(timestamp) AS last_seen,
              (SELECT max(timestamp) FROM predictions) AS newest
       FROM predictions GROUP BY set_number, line_code)
 WHERE last_seen = newest OR epoch_ms(newest) - epoch_ms(last_seen) < 3 * 86400 * 1000""")
+
+ORACLE["q_fold_hot"] = """
+SELECT l_linenumber, count(*) AS n,
+       list_reduce(list(seconds ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, seconds), lambda a, x: (a + x) // 2) AS folded
+FROM (SELECT *, CASE WHEN l_shipdate >= TIMESTAMP '1997-01-01' THEN CAST(120 AS BIGINT)
+                     ELSE CAST(trunc(l_quantity * 10) AS BIGINT) END AS seconds
+      FROM lineitem)
+GROUP BY l_linenumber
+"""

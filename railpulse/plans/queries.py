@@ -325,3 +325,17 @@ def q_eta_reconcile(spark, sf_dir):
     pos = position.with_positions(snaps, fx.stations(spark, sf_dir), _edges(spark, sf_dir))
     pos = pos.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     return trajectory.reconcile(trajectory.observations(pos))
+
+
+# --------------------------------------------------------------------------- A6
+from railpulse.operators import fold  # noqa: E402
+
+
+@query("q_fold_hot")
+def q_fold_hot(spark, sf_dir):
+    """The ordered fold over keys that hold a seventh of all rows each, with long constant tails."""
+    late = F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")
+    seconds = F.when(late, F.lit(120)).otherwise((F.col("l_quantity") * 10).cast("int"))
+    order = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "seconds"]
+    rows = fx.table(spark, sf_dir, "lineitem").withColumn("seconds", seconds)
+    return fold.halving_fold(rows.select("l_linenumber", *order), ["l_linenumber"], order, "seconds")

@@ -56,10 +56,19 @@ def xml_snapshots(spark: SparkSession, path: str, stream: bool = False) -> DataF
         F.col("_metadata.file_modification_time").alias("timestamp"))
 
 
+def _document():
+    """Key of a JSON document: its file, and its place among the file's documents."""
+    # a multi-line file is read by one task, so the ids within a file follow its order
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
 def stop_points(spark: SparkSession, path: str) -> DataFrame:
-    """Stop-point documents -> one row per stop point with (doc_idx, sp_idx)."""
+    """Stop-point documents -> one row per stop point with (doc_idx, sp_idx).
+
+    ``doc_idx`` orders documents by file name, then by their place in the file.
+    """
     docs = spark.read.schema(STOP_POINTS_DOC).option("multiLine", "true").json(path)
-    docs = docs.withColumn("doc_idx", F.monotonically_increasing_id())
+    docs = docs.withColumn("doc_idx", _document())
     return docs.select("doc_idx", F.posexplode("stopPoints").alias("sp_idx", "sp")).select(
         "doc_idx", "sp_idx", "sp.*")
 
@@ -67,15 +76,15 @@ def stop_points(spark: SparkSession, path: str) -> DataFrame:
 def route_stops(spark: SparkSession, path: str) -> DataFrame:
     """Route documents -> line_id, seq_no, pos, stationId, id, name, lat, lon.
 
-    Sequences are repeated once per ordered route (as the source reads them);
-    a document whose route list is empty yields no stops.
+    A document whose route list is empty yields no stops; more than one route
+    repeats its sequences, which adds no edge, so they are read once.  ``seq_no``
+    is (document, sequence), so documents of one line never mix.
     """
     docs = spark.read.schema(ROUTE_DOC).option("multiLine", "true").json(path)
-    reps = F.sequence(F.lit(0), F.size(F.coalesce("orderedLineRoutes", F.array())) - 1)
     d = docs.filter(F.size(F.coalesce("orderedLineRoutes", F.array())) > 0).select(
-        F.col("lineId").alias("line_id"), F.explode(reps).alias("rep"),
+        F.col("lineId").alias("line_id"), _document().alias("doc"),
         F.posexplode("stopPointSequences").alias("sq", "seq"))
-    d = d.select("line_id", (F.col("rep") * 100000 + F.col("sq")).alias("seq_no"),
+    d = d.select("line_id", F.struct("doc", "sq").alias("seq_no"),
                  F.posexplode("seq.stopPoint").alias("pos", "sp"))
     return d.select("line_id", "seq_no", "pos", "sp.stationId", "sp.id", "sp.name",
                     "sp.lat", "sp.lon")
@@ -83,12 +92,14 @@ def route_stops(spark: SparkSession, path: str) -> DataFrame:
 
 def timetable_intervals(spark: SparkSession, path: str, line_map: DataFrame) -> DataFrame:
     """Timetable documents -> line_code, departure, route_idx, set_idx, interval_idx,
-    stop_id, time_to_arrival (``line_map``: line_id -> line_code)."""
+    stop_id, time_to_arrival (``line_map``: line_id -> line_code).
+
+    ``route_idx`` is (document, route), so timetables of one departure never mix."""
     docs = spark.read.schema(TIMETABLE_DOC).option("multiLine", "true").json(path)
     d = docs.select(F.col("lineId").alias("line_id"),
                     F.col("timetable.departureStopId").alias("departure"),
-                    F.posexplode("timetable.routes").alias("route_idx", "r"))
-    d = d.select("line_id", "departure", "route_idx",
+                    _document().alias("doc"), F.posexplode("timetable.routes").alias("route", "r"))
+    d = d.select("line_id", "departure", F.struct("doc", "route").alias("route_idx"),
                  F.posexplode("r.stationIntervals").alias("set_idx", "si"))
     d = d.select("line_id", "departure", "route_idx", "set_idx",
                  F.posexplode("si.intervals").alias("interval_idx", "iv"))

@@ -11,6 +11,7 @@ a rebuilt dimension is picked up by the next batch without a restart.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -54,9 +55,8 @@ def start_positions(rows: DataFrame, load_dims: Callable[[], tuple[DataFrame, Da
 
 
 def stop(query: StreamingQuery, timeout_s: float = 30.0) -> None:
-    """Graceful stop (let the running batch finish, then stop)."""
-    try:
-        query.processAllAvailable() if query.isActive else None
-    finally:
-        query.stop()
-        query.awaitTermination(timeout_s)
+    """Graceful stop: let the running batch finish, for ``timeout_s`` at most, then stop."""
+    end = time.monotonic() + timeout_s
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(0.05)
+    query.stop()

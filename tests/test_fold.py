@@ -1,7 +1,9 @@
-"""The skew-safe ordered fold equals the plain sequential fold."""
+"""The ordered fold by composed blocks equals the plain sequential fold."""
 
 import random
 
+import pytest
+
 from railpulse.operators import fold
 
 
@@ -12,28 +14,16 @@ def brute(xs):
     return acc
 
 
-def test_fold_matches_bruteforce(spark):
-    rnd = random.Random(7)
-    rows, expect = [], {}
-    for k in range(30):
-        n = rnd.choice([1, 2, 5, 63, 64, 65, 200])
-        xs = [rnd.randint(1, 10_000) for _ in range(n)]
-        rows += [(f"k{k}", i, x) for i, x in enumerate(xs)]
-        expect[f"k{k}"] = brute(xs)
+@pytest.mark.parametrize("block", [16, 64])
+def test_fold_matches_bruteforce(spark, monkeypatch, block):
+    """Short keys, full blocks, many levels, constant tails after a smaller head."""
+    monkeypatch.setattr(fold, "BLOCK", block)
+    rnd = random.Random(block)
+    lists = [[rnd.randint(-5_000, 10_000) for _ in range(n)] for n in (1, 2, 15, 16, 17, 63, 64, 65, 200, 5000)]
+    lists += [[119] + [120] * 99, [119] + [120] * 2999, [120] * 300 + [119], [7, 8] * 400]
+    lists += [[rnd.randint(1, 300)] * rnd.randint(1, 40) + [rnd.randint(1, 300)] * 200 for _ in range(10)]
+    rows = [(f"k{k}", i, x) for k, xs in enumerate(lists) for i, x in enumerate(xs)]
+    rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, i int, v int")
-    got = {r.k: r.folded for r in fold.halving_fold(df, ["k"], ["i"], "v").collect()}
-    assert got == expect
-
-
-def test_fold_exact_path_for_unsettled_keys(spark, monkeypatch):
-    # with a tiny tail the two bounds often disagree: the exact path must fix those keys
-    monkeypatch.setattr(fold, "K", 2)
-    rnd = random.Random(3)
-    rows, expect = [], {}
-    for k in range(40):
-        xs = [rnd.randint(1, 1000) for _ in range(rnd.randint(1, 12))]
-        rows += [(k, i, x) for i, x in enumerate(xs)]
-        expect[k] = brute(xs)
-    df = spark.createDataFrame(rows, "k int, i int, v int")
-    got = {r.k: r.folded for r in fold.halving_fold(df, ["k"], ["i"], "v").collect()}
-    assert got == expect
+    got = {r.k: (r.folded, r.n) for r in fold.halving_fold(df, ["k"], ["i"], "v").collect()}
+    assert got == {f"k{k}": (brute(xs), len(xs)) for k, xs in enumerate(lists)}
