@@ -5,19 +5,27 @@ a threshold.  Equal sets form one class; the join works on classes, so copies
 never meet each other.  It finds every link that matters to connectivity, with no
 cap on partners:
 
-1. Global order.  Shingles are counted in a table of fixed size (``SLOTS`` counts,
-   by hash); a shingle's place in the order is (level of its slot's count, hash).
-   The order is the same everywhere, rare first; it need not be exact.
+1. Global order.  A prefix takes a fifth of a set, so it is enough to order a part
+   of the shingles by frequency: those whose hash is below ``COUNTED`` are counted
+   over the corpus, and the level of each count goes to a table of fixed size
+   (``SLOTS`` bytes, by hash).  They come first, rare before frequent; the others
+   follow by hash.  The order is the same everywhere; any such order is right, a
+   table that is crowded only makes it less selective.
 2. Prefixes.  Two sets that link share one of the first n - ceil(t n) + 1 shingles
-   of each.  Each class posts its prefix; shingles posted by one class alone drop.
-3. First links.  Each remaining class goes to two of its shared shingles, picked
-   by hash.  A shingle's classes are dealt into blocks of at most ``BLOCK``; a
-   block is joined in one task by a prefix tree and yields the links that connect
-   it.  Groups of near copies, however large, are mostly connected after this.
-4. The rest.  A shingle whose classes now all lie in one component is done.  Of
-   shingles with the same classes one stays.  Its classes, ordered by component,
-   are cut into parts, and every pair of parts that holds two components is joined
-   in a task of its own, so all pairs across components are covered exactly.
+   of each, and it is among the first n - ceil(2 t / (1 + t) n) + 1 of the shorter,
+   its core.  Each class posts its prefix; shingles posted by one class alone, or
+   by none as core, drop.
+3. Families.  Classes connected by shared prefix shingles form a family; no link
+   leaves it.  A family of at most ``BLOCK`` classes is joined in one task.
+4. Large families.  Each class goes to two of its shared shingles, picked by hash;
+   a shingle's classes are dealt into blocks of about ``BLOCK``, and each block
+   yields the links that connect it.  Groups of near copies, however large, are
+   mostly connected after this, and a shingle whose classes all lie in one
+   component is done.  Of the other shingles with the same classes one stays, and
+   one whose classes another shingle covers goes; its classes, ordered by core, size
+   and component, are cut into parts, and every pair of parts that holds a core, two
+   components and sizes that can link is joined in a task of its own, so all pairs
+   across components are covered exactly.
 5. Components by alternating stars over the links, then back to the documents.
 
 Within a task the sets of a block, each in the order of the block's most shared
@@ -34,72 +42,82 @@ unless the whole component has none; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railpulse.llm.shingles import WORDS, mix, shingle_set
 from railpulse.session import materialize
 
-SLOTS = 1 << 22
-SLABS = 64
-BLOCK = 128
-BITS = 1 << 24
 PERCENT = 80
+#: Shingles below this hash, three tenths of all, are counted for the order: more than a prefix takes at 80 percent.
+COUNTED = 3 * (1 << 64) // 10
+SLOTS = 1 << 23
+BLOCK = 192
+BITS = 1 << 24
 
 
 # ------------------------------------------------------------------- global order
-def _levels(docs: DataFrame, words: int) -> np.ndarray:
-    """One byte a slot: about four times the binary logarithm of its shingle count."""
-    size = SLOTS // SLABS
+def _ranges(docs: DataFrame) -> int:
+    """Hash ranges that shingles are gathered by: as many as keep a range's share bounded when the input grows."""
+    return int(min(1 << 14, max(64, 8 * docs.rdd.getNumPartitions())))
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return np.minimum((shingles.astype(np.float64) * (SLOTS / COUNTED)).astype(np.int64), SLOTS - 1)
+
+
+def _blobs(columns: dict[str, np.ndarray], ranges: int, at: np.ndarray) -> list[tuple]:
+    """(range, bytes of each column) of each range that has rows; ``at`` is the ascending range of each row."""
+    edge = np.flatnonzero(np.diff(at, prepend=-1, append=ranges + 1))
+    return [(int(at[i]), *(c[i:j].tobytes() for c in columns.values())) for i, j in zip(edge[:-1], edge[1:])]
+
+
+def _levels(docs: DataFrame, words: int, ranges: int) -> np.ndarray:
+    """One byte a slot: 0 where no counted shingle occurs twice, else eight times the binary logarithm of the most frequent one's count."""
 
-    def counts(batches):
-        total = np.zeros(SLOTS, np.uint32)
-        held, waiting = 0, []
+    def count(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = shingle_set(text, words)
-                waiting.append(_slot(own))
-                held += len(own)
-                if held > 1 << 20:
-                    total += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.uint32)
-                    held, waiting = 0, []
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.uint32)
-        slabs = [(k, zlib.compress(total[k * size:(k + 1) * size].tobytes(), 1)) for k in range(SLABS) if total[k * size:(k + 1) * size].any()]
-        if slabs:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in slabs], pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * len(slabs), pa.int32()), pa.array([b for _, b in slabs], pa.binary())], names=["slab", "part", "n"])
+            for k in range(0, batch.num_rows, 4096):
+                own = [s[:np.searchsorted(s, np.uint64(COUNTED))] for s in (shingle_set(t, words) for t in batch.column(0).slice(k, 4096).to_pylist())]
+                token, n = np.unique(np.concatenate(own), return_counts=True)
+                found = _blobs({"token": token, "n": n.astype(np.uint32)}, ranges, _slot(token) * ranges // SLOTS)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[c] for f in found], pa.binary()) for c in (1, 2))], names=["part", "token", "n"])
 
     def add(table):
-        total = np.zeros(size, np.uint64)
-        for blob in table.column("n").to_pylist():
-            total += np.frombuffer(zlib.decompress(blob), np.uint32)
-        blob = zlib.compress(np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32).tobytes(), 1)
-        return table.slice(0, 1).select(["slab", "part"]).append_column("n", pa.array([blob], pa.binary()))
-
-    kind = "slab int, part int, n binary"
-    slabs = docs.select("text").mapInArrow(counts, kind)
-    slabs = slabs.groupBy("slab", "part").applyInArrow(add, kind)  # of many tasks, first 64 sums
-    slabs = slabs.withColumn("part", F.lit(0)).groupBy("slab").applyInArrow(add, kind)
+        token = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("token").to_pylist()])
+        n = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("n").to_pylist()])
+        token, at = np.unique(token, return_inverse=True)
+        total = np.bincount(at, weights=n)
+        twice = total > 1
+        slot, first = np.unique(_slot(token[twice]), return_index=True)
+        level = np.maximum.reduceat(np.minimum(255, np.ceil(8 * np.log2(total[twice]))), first).astype(np.uint8) if len(slot) else np.empty(0, np.uint8)
+        return pa.table({"slot": pa.array([slot.astype(np.int32).tobytes()], pa.binary()), "level": pa.array([level.tobytes()], pa.binary())})
+
     levels = np.zeros(SLOTS, np.uint8)
-    for r in slabs.collect():  # SLABS rows, together SLOTS counts
-        n = np.frombuffer(zlib.decompress(r["n"]), np.uint32)
-        levels[r["slab"] * size:(r["slab"] + 1) * size] = np.minimum(255, 4 * np.log2(1 + n.astype(np.float64))).astype(np.uint8)
+    for r in docs.select("text").mapInArrow(count, "part int, token binary, n binary").groupBy("part").applyInArrow(add, "slot binary, level binary").collect():
+        levels[np.frombuffer(r["slot"], np.int32)] = np.frombuffer(r["level"], np.uint8)  # SLOTS entries over all ranges
     return levels
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+def in_order(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A set (sorted by hash) in the global order: counted shingles by level and hash, then the others by hash."""
+    n = int(np.searchsorted(shingles, np.uint64(COUNTED)))
+    return np.concatenate([shingles[:n][np.argsort(level[_slot(shingles[:n])], kind="stable")], shingles[n:]])
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def core_length(n: int, percent: int = PERCENT) -> int:
+    """The shorter of two sets that link shares one of this many of its first shingles with a prefix of the longer."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def signature(shingles: np.ndarray) -> int:
     """64 bits of a set: sums of two mixes of its members, mixed with its size."""
     with np.errstate(over="ignore"):
@@ -108,31 +126,66 @@ def signature(shingles: np.ndarray) -> int:
         return int(mix(np.array([a ^ mix(np.array([b + np.uint64(len(shingles))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
-def _documents(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, sig and the prefix of each document in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _documents(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and sig (the class; null without words) of each document."""
 
     def task(batches):
-        level = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                n, sig, prefix = [], [], []
-                seen = set()  # a class posts its prefix once a slice
-                for text in part.column(1).to_pylist():
-                    own = shingle_set(text, words)
-                    n.append(len(own))
-                    sig.append(signature(own) if len(own) else None)
-                    if not len(own) or sig[-1] in seen:
-                        prefix.append(None)
-                        continue
-                    seen.add(sig[-1])
-                    # shingle_set sorts by hash, so a stable sort by level gives (level, hash)
-                    prefix.append(own[np.argsort(level[_slot(own)], kind="stable")[:prefix_length(len(own), percent)]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig", "prefix"])
+            n, sig = [], []
+            for text in batch.column(1).to_pylist():
+                own = shingle_set(text, words)
+                n.append(len(own))
+                sig.append(signature(own) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], names=["doc_id", "n_shingles", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_shingles long, sig long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_shingles long, sig long")
+
+
+def _buckets(docs: DataFrame, levels: np.ndarray, words: int, percent: int, ranges: int) -> DataFrame:
+    """token, sig, core, lo, posts: the classes of each shingle that two or more classes post, one of them as core;
+    whether it is core for this one, the smallest core class, and the number of classes.
+
+    Posts travel as arrays of a hash range; a class posts once a slice.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def post(batches):
+        level = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                prefix, sizes = {}, []
+                for text in batch.column(0).slice(k, 4096).to_pylist():
+                    own = shingle_set(text, words)
+                    if len(own) and (sig := signature(own)) not in prefix:
+                        prefix[sig] = in_order(own, level)[:prefix_length(len(own), percent)]
+                        sizes.append(len(own))
+                token = np.concatenate([*prefix.values(), np.empty(0, np.uint64)])
+                core = np.concatenate([*(np.arange(len(p)) < core_length(n, percent) for p, n in zip(prefix.values(), sizes)), np.empty(0, bool)])
+                sig = np.repeat(np.array([*prefix], np.int64), [len(p) for p in prefix.values()])
+                at = (token & np.uint64(0xFFFFFF)).astype(np.int64) * ranges >> 24
+                order = np.argsort(at, kind="stable")
+                found = _blobs({"token": token[order], "sig": sig[order], "core": core[order]}, ranges, at[order])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[c] for f in found], pa.binary()) for c in (1, 2, 3))], names=["part", "token", "sig", "core"])
+
+    def meet(table):
+        token = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("token").to_pylist()])
+        sig = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("sig").to_pylist()])
+        core = np.concatenate([np.frombuffer(b, bool) for b in table.column("core").to_pylist()])
+        order = np.lexsort((sig, token))
+        token, sig, core = token[order], sig[order], core[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+        token, sig, core = token[new], sig[new], core[new]
+        _, at, n = np.unique(token, return_inverse=True, return_counts=True)
+        cores = np.bincount(at, weights=core)
+        lo = np.zeros(len(n), np.int64)  # the smallest core class: rows are in order, so the last written is the first
+        lo[at[core][::-1]] = sig[core][::-1]
+        n = n[at]
+        two = (n > 1) & (cores[at] > 0)
+        return pa.table({"token": pa.array(token[two].view(np.int64)), "sig": pa.array(sig[two]), "core": pa.array(core[two]), "lo": pa.array(lo[at][two]), "posts": pa.array(n[two].astype(np.int64))})
+
+    return docs.select("text").mapInArrow(post, "part int, token binary, sig binary, core binary").groupBy("part").applyInArrow(meet, "token long, sig long, core boolean, lo long, posts long")
 
 
 # ------------------------------------------------------------------- join in a block
@@ -280,18 +333,25 @@ def bitmap(ids: DataFrame, doc_id: str = "doc_id") -> np.ndarray:
 def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, sig (null: no words) and component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = materialize(_documents(docs, _levels(docs, words), words, percent), "shingled")
-    classes = known.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
-    posts = known.where("prefix IS NOT NULL").select("sig", F.explode("prefix").alias("token"))
-    spread = posts.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("posts")).where("lo < hi")
-    buckets = materialize(posts.join(spread.select("token", "posts"), "token").groupBy("token", "sig").agg(F.first("posts").alias("posts")), "buckets")
-
-    # the sets of the classes that share a prefix shingle, read again from the texts
-    wanted = buckets.select("sig").distinct()
-    sources = materialize(classes.join(wanted, "sig").select("sig", "first_id"), "sources")
-    sets = materialize(_sets(docs, bitmap(sources, "first_id"), words).join(sources.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
-
-    # first links, by two shared shingles a class
+    known = materialize(_documents(docs, words), "shingled")
+    classes = known.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"))
+    ranges = _ranges(docs)
+    buckets = materialize(_buckets(docs, _levels(docs, words, ranges), words, percent, ranges), "buckets")
+
+    # families: classes connected by shared prefix shingles; no link leaves a family
+    family = components(buckets.select(F.col("lo").alias("a"), F.col("sig").alias("b")))
+    family = family.join(family.groupBy("label").agg(F.count("*").alias("members")), "label")
+    sources = materialize(family.join(classes.withColumnRenamed("sig", "node"), "node").select(F.col("node").alias("sig"), F.col("label").alias("family"), "members", "first_id", "size"), "sources")
+    # their sets, read again from the texts
+    sets = _sets(docs, bitmap(sources, "first_id"), words).join(sources.select("sig", "family", "members"), "sig").dropDuplicates(["sig"])
+    sets = materialize(sets, "sets")
+    # a family that fits in a block is joined whole; the links that connect it point to its components' smallest class
+    small = materialize(_block_links(sets.where(F.col("members") <= BLOCK).withColumn("side", F.lit(None).cast("long")), ["family"], percent), "small-links")
+    sets = sets.where(F.col("members") > BLOCK).select("sig", "shingles")
+    wanted = sources.where(F.col("members") > BLOCK).select("sig", "size")
+    buckets = materialize(buckets.join(wanted, "sig"), "large-buckets")
+
+    # first links of large families, by two shared shingles a class
     pick = lambda k: F.min_by(F.struct("token", "posts"), F.xxhash64("token", F.lit(k)))
     homes = buckets.groupBy("sig").agg(pick(1).alias("h1"), pick(2).alias("h2"))
     homes = homes.select("sig", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}.token").alias("token"), F.col(f"h{k}.posts").alias("posts")) for k in (1, 2)])).alias("h"))
@@ -300,25 +360,33 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     label = materialize(components(first), "first-components")
 
     # shingles whose classes aren't yet one component
-    placed = buckets.select("token", "sig").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    open_tokens = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("sig", F.lit(9)).cast("decimal(38,0)")).alias("s2")).where("lo < hi")
-    one_each = open_tokens.groupBy("n", "s1", "s2").agg(F.min("token").alias("token"))
-    rest = placed.join(one_each.select("token"), "token")
-    place = F.row_number().over(Window.partitionBy("token").orderBy("label", "sig"))
+    placed = buckets.select("token", "sig", "core", "size").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    open_tokens = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("sig", "core").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("sig", "core", F.lit(9)).cast("decimal(38,0)")).alias("s2")).where("lo < hi")
+    one_each = open_tokens.groupBy("n", "s1", "s2").agg(F.min("token").alias("token")).select("token", "n")
+    rest = placed.join(one_each.select("token", "n"), "token")
+    # a class leads to its most posted shingle; one whose classes all lead to the same other is covered there
+    lead = rest.groupBy("sig").agg(F.max(F.struct("n", "token", "core")).alias("x")).select("sig", F.col("x.token").alias("lead"), F.col("x.core").alias("lead_core"))
+    apart = rest.join(lead, "sig").groupBy("token").agg(F.min("lead").alias("l1"), F.max("lead").alias("l2"), F.bool_or(F.col("core") & ~F.col("lead_core")).alias("more")).where("l1 < l2 OR l1 = token OR more")
+    rest = rest.select("token", "sig", "core", "size", "label").join(apart.select("token"), "token")
+    band = F.floor(F.log(F.col("size")) / math.log(1.25))  # sets that link differ by a quarter at most at 80 percent
+    place = F.row_number().over(Window.partitionBy("token").orderBy(F.col("core").desc(), band, "label", "sig"))
     part = materialize(rest.withColumn("part", F.floor((place - 1) / (BLOCK // 2))), "parts")
-    ends = part.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    other = ends.select("token", F.col("part").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = ends.join(other, "token").where("part <= q AND lo < hi2")  # parts are ordered by label
+    ends = part.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most"), F.bool_or("core").alias("core"))
+    other = ends.select("token", *[F.col(a).alias(b) for a, b in (("part", "q"), ("lo", "lo2"), ("hi", "hi2"), ("least", "least2"), ("most", "most2"), ("core", "core2"))])
+    near = (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
+    pairs = ends.join(other, "token").where("part <= q AND (core OR core2) AND least(lo, lo2) < greatest(hi, hi2)").where(near)
     pairs = pairs.select("token", F.col("part").alias("p"), "q")
-    wide = pairs.select("token", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part")).join(part, ["token", "part"])
+    wide = pairs.select("token", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part")).join(part.select("token", "part", "sig", "label"), ["token", "part"])
     more = _block_links(wide.select("token", "p", "q", "sig", F.col("label").alias("side")).join(sets, "sig"), ["token", "p", "q"], percent)
 
     # links between first components join those
     ends = more.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     merged = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
     merged = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    top = sources.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(merged, "label", "left")
-    top = materialize(top.select("sig", "first_id", F.coalesce("top", "label").alias("top")), "tops")
+    large = label.join(merged, "label", "left").select(F.col("node").alias("sig"), F.coalesce("top", "label").alias("top"))
+    large = large.union(merged.select("label", "top")).union(small.select("b", "a"))  # a class that only the second links reach names itself
+    top = large.groupBy("sig").agg(F.min("top").alias("top"))
+    top = materialize(sources.join(top, "sig", "left").select("sig", "first_id", F.coalesce("top", "sig").alias("top")), "tops")
     joined = top.join(top.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("sig", "component_id")
     of = classes.join(joined, "sig", "left").select("sig", F.coalesce("component_id", "first_id").alias("component_id"))
     linked = known.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig").join(of, "sig").select("doc_id", "n_shingles", "sig", "component_id")
@@ -337,3 +405,32 @@ def _sets(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["sig", "shingles"])
 
     return docs.select(_bit().alias("bit"), "text").mapInArrow(task, "sig long, shingles binary")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without all but one document of each component: the smallest doc_id stays.
+
+    Most documents have no copy.  The ids that have one set flags in a table of fixed
+    size; rows whose flag is unset stay where they are, and only the others meet the
+    components in a join.  Rows without a doc_id, or without words, all stay.  A
+    doc_id names a document: of rows that share one and have copies, one stays.
+    """
+    found = materialize(near_copies(docs, words, percent).where("sig IS NOT NULL AND doc_id IS NOT NULL"), "components")
+    many = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    grouped = materialize(found.join(many, "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "grouped")
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(grouped)))
+
+    def flag(batches):
+        flags = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flags[batch.columns[-1].to_numpy()])], names=[*batch.schema.names[:-1], "_maybe"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    marked = docs.withColumn("_bit", _bit()).mapInArrow(flag, f"{kinds}, _maybe boolean")
+    alone = marked.where("NOT _maybe").drop("_maybe")
+    maybe = marked.where("_maybe").drop("_maybe")
+    named = maybe.join(grouped.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    kept = named.where("_id IS NULL OR doc_id = component_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = kept.where("_id IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return alone.unionByName(kept.where("_id IS NULL").select(*docs.columns)).unionByName(once.select(*docs.columns))
