@@ -224,6 +224,37 @@ def test_license_scan_matches_brute_force(spark):
     assert license_dice.scan(docs.where("false")).count() == 0
 
 
+def test_license_windows_within_longer_texts(spark):
+    mit, bsd = license_dice.TEMPLATES["MIT"], license_dice.TEMPLATES["BSD-2-Clause"]
+    wrap = lambda text, mark, k=9: "\n".join(mark + " ".join(text.split()[i:i + k]) for i in range(0, len(text.split()), k))
+    code = "\n".join(f"value{k} = compute{k}(argument{k}, other{k})" for k in range(400))
+    texts = [
+        f"# Copyright 2020 Acme\n#\n{wrap(mit, '# ')}\n{code}",
+        f"{code}\n{wrap(bsd.replace('CONTRIBUTORS', 'AUTHORS'), ' * rem ')}\n{code}\n{wrap(mit, '// ')}",
+        "This project is licensed under the Apache License, Version 2.0. See the file named so for what that says.",
+        "first\nCopyright 2020 Acme Inc. All rights reserved.\nCopyright 2021 Other Inc. All rights reserved. Call us or write for any question.",
+        "license of the software, all of the rights are granted and the copyright is reserved " * 200,
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[2])], "doc_id long, text string")
+    got = license_dice.scan(docs).collect()
+
+    def best(text, name):
+        split = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
+        grams = lambda t: [" ".join(p) for p in zip(split(t), split(t)[1:])]
+        u, t = grams(text), grams(license_dice.TEMPLATES[name])
+        hit, b, top = set(t), len(set(t)), (0, 0)
+        for i in (k for k, g in enumerate(u) if g in hit):
+            seen = set()
+            for g in u[i:i + len(t) * 3 // 2]:
+                seen.add(g)
+                top = max(top, (2 * len(seen & hit) / (len(seen) + b), -len(seen))) if g in hit else top
+        return round(top[0], 6), -top[1]
+
+    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["line"], r["license"], r["dice"], r["n_bigrams"]) for r in got)
+    want = [(0, 3, "MIT"), (1, 401, "BSD-2-Clause"), (1, 401 + len(wrap(bsd, "").split("\n")) + 400, "MIT"), (2, 1, "Apache-2.0 statement"), (3, 2, "All rights reserved"), (3, 3, "All rights reserved")]
+    assert rows == [((False, k), line, name, *best(texts[k], name)) for k, line, name in want] + [((True, 0), 1, "Apache-2.0 statement", *best(texts[2], "Apache-2.0 statement"))]
+
+
 # ------------------------------------------------------------------- registered queries
 def test_op3_and_op9_digests(spark, encoder):
     from railpulse.llm.queries import QUERIES
