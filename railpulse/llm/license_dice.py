@@ -23,8 +23,9 @@ in which it lies, matches the same template.  Its line is the one where it begin
 
 Defined results: a null or empty text, and a unit without a word, match nothing;
 repeated rows match as often as they occur; line 0 is the whole text, and a text of
-one line gives no second unit; several templates may match a text or line, each in a
-row of its own; a template of one word has no windows.
+one line gives no second unit; of the templates that match a text or line the one with
+the highest coefficient counts, of equal ones the first by name; a template of one word
+has no windows.
 """
 
 from __future__ import annotations
@@ -36,10 +37,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from railpulse.llm.license_templates import TEMPLATES
+from railpulse.llm.license_templates import MORE, TEMPLATES
 from railpulse.session import materialize
 
 THRESHOLD = 0.8
+COMMON = frozenset("a an and any as at be by for from if in is it may not of on or such that the this to under which with you your".split())
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,17 +56,17 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) < 2, words).otherwise(pairs))
 
 
-def anchors(templates: dict[str, str], threshold: float = THRESHOLD) -> list[str]:
-    """Words of which every match of a template holds at least one; long words are taken first."""
+def anchors(texts: list[str], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every match of a template holds at least one; long words are taken first, common ones last."""
     chosen: set[str] = set()
-    for text in templates.values():
+    for text in sorted(texts, key=len):
         words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(_UPPER, _LOWER))).split()
         grams = set(zip(words, words[1:])) or {(w,) for w in words}
         spare = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)  # bigrams that a match may lack
         covered = {g for g in grams if chosen & set(g)}
         while len(covered) <= spare:
             left = Counter(w for g in grams - covered for w in set(g))
-            best = max(left, key=lambda w: (len(w) >= 6, left[w], w))
+            best = max(left, key=lambda w: (w not in COMMON, min(len(w), 6), left[w], w))
             chosen.add(best)
             covered |= {g for g in grams if best in g}
     return sorted(chosen)
@@ -128,10 +130,10 @@ def _windows(licensed: DataFrame, listed: DataFrame, threshold: float) -> DataFr
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line, license, dice (six decimals), n_bigrams: the matching units of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    templates = templates or TEMPLATES
-    listed = materialize(_prepared(spark, list(templates.items()), threshold), "templates")
+    pairs = list(templates.items()) if templates else [*TEMPLATES.items(), *MORE]
+    listed = materialize(_prepared(spark, pairs, threshold), "templates")
     least = listed.agg(F.min("low")).first()[0]
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors(templates, threshold)) + r")(?![a-z0-9])"
+    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors([t for _, t in pairs], threshold)) + r")(?![a-z0-9])"
     text = F.col("text").cast("string")
     licensed = materialize(docs.where(text.rlike(anchor)).select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")), "licensed")
     lines = F.split("text", "\n", -1)
@@ -144,7 +146,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     shared = F.size(F.array_intersect("ub", "tb"))
     met = each.join(F.broadcast(listed), F.col("n").between(F.col("low"), F.col("high"))).select("row", "line", "license", "n", "b", shared.alias("shared"))
     dice = 2 * F.col("shared") / (F.col("n") + F.col("b"))
-    met = materialize(met.where(dice >= threshold).select("row", "line", "license", dice.alias("dice"), F.col("n").alias("n_bigrams")), "units")
+    met = met.where(dice >= threshold).select("row", "line", "license", dice.alias("dice"), F.col("n").alias("n_bigrams"))
+    best = F.row_number().over(Window.partitionBy("row", "line").orderBy(F.desc("dice"), "license"))
+    met = materialize(met.withColumn("best", best).where("best = 1").drop("best"), "units")
     # windows that a unit does not already say
     seen = met.select(F.col("row").alias("r"), F.col("license").alias("name"), F.col("line").alias("at")).distinct()
     said = (F.col("row") == F.col("r")) & (F.col("license") == F.col("name")) & ((F.col("at") == 0) | ((F.col("at") == F.col("line")) & (F.col("line") == F.col("last"))))

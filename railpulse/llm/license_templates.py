@@ -1,4 +1,11 @@
-"""Texts of licences and of the usual statements of one.  Fixed values: public licence texts as published."""
+"""Texts of licences and of the usual statements of one.  Fixed values: public licence texts as published.
+
+``TEMPLATES`` is the table that the SQL of the query reads; ``MORE`` (name, text) adds full
+texts, versions, SPDX lines and wordings, so a name may occur in several rows.  A unit
+takes the name of its best template, so near texts and versions stay apart.
+"""
+
+from railpulse.llm.license_texts import TEXTS
 
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
@@ -19,3 +26,55 @@ TEMPLATES = {
     "CC-BY-4.0 sentence": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "All rights reserved": "All rights reserved.",
 }
+
+_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_GNU = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General Public License along with this {what}"
+_POST = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_WEB = ". If not, see https://www.gnu.org/licenses/."
+
+
+def _gnu(what: str, kind: str, version: str, end: str) -> str:
+    mark, comma = (":", ",") if end == _WEB else (";", ";")
+    return _GNU.format(what=what, kind=kind, version=version, mark=mark, comma=comma) + end
+
+
+# the names that statements give to a licence
+_NAMES = {
+    "MIT": ["MIT License"],
+    "ISC": ["ISC License"],
+    "Zlib": ["zlib License"],
+    "Unlicense": ["Unlicense"],
+    "BSD": ["BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "GPL": ["GNU General Public License", "GNU GPL"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2", "GPL 2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3", "GPL 3.0"],
+    "LGPL": ["GNU Lesser General Public License", "GNU LGPL"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPL 2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "AGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "CC0-1.0": ["CC0 1.0 Universal License", "CC0 1.0 Universal Public Domain Dedication"],
+}
+_FORMS = ["Licensed under the {}", "Released under the {}", "Distributed under the {}", "This work is licensed under the {}", "This project is licensed under the {}"]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_SPDX = ["MIT", "MIT-0", "ISC", "Zlib", "Unlicense", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "CC0-1.0"]
+_SPDX += [f"{k}-{v}{end}" for k, v in [("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")] for end in ("", "-only", "-or-later")]
+_SPDX += [f"CC-{k}-{v}" for k in _CC for v in ("3.0", "4.0")]
+
+MORE = [
+    *TEXTS.items(),
+    ("BSD-3-Clause", TEMPLATES["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", _CLAUSE + "THIS SOFTWARE IS PROVIDED", 1)),
+    ("GPL-2.0 notice", _gnu("program", "", "2", _POST)),
+    ("GPL-2.0 notice", _gnu("program", "", "2", _WEB)),
+    ("GPL-3.0 notice", _gnu("program", "", "3", _POST)),
+    ("LGPL-2.1 notice", _gnu("library", "Lesser ", "2.1", _POST)),
+    ("LGPL-3.0 notice", _gnu("program", "Lesser ", "3", _WEB)),
+    ("AGPL-3.0 notice", _gnu("program", "Affero ", "3", _WEB)),
+    *[(f"{k} statement", form.format(name)) for k, names in _NAMES.items() for name in names for form in _FORMS],
+    *[(f"CC-{k}-{v} statement", f"{form} CC {k} {v}") for k in _CC for v in ("3.0", "4.0") for form in ("Licensed under", "This work is licensed under")],
+    *[(f"CC-{k}-{v} sentence", f"This work is licensed under a Creative Commons {name} {v} {place} License") for k, name in _CC.items() for v, place in (("3.0", "Unported"), ("4.0", "International"))],
+    *[(f"SPDX {k}", f"SPDX-License-Identifier: {k}") for k in _SPDX],
+]

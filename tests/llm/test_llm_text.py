@@ -236,7 +236,7 @@ def test_license_windows_within_longer_texts(spark):
         "license of the software, all of the rights are granted and the copyright is reserved " * 200,
     ]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[2])], "doc_id long, text string")
-    got = license_dice.scan(docs).collect()
+    got = license_dice.scan(docs, license_dice.TEMPLATES).collect()
 
     def best(text, name):
         split = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
@@ -255,6 +255,40 @@ def test_license_windows_within_longer_texts(spark):
     assert rows == [((False, k), line, name, *best(texts[k], name)) for k, line, name in want] + [((True, 0), 1, "Apache-2.0 statement", *best(texts[2], "Apache-2.0 statement"))]
 
 
+def test_license_names_of_versions_and_wordings(spark):
+    from railpulse.llm.license_texts import TEXTS
+
+    lines = {
+        "Licensed under the MIT License.": "MIT statement",
+        "Licensed under the GNU General Public License, version 2.": "GPL-2.0 statement",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0 statement",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 statement",
+        "This work is licensed under the GNU General Public License.": "GPL statement",
+        "// SPDX-License-Identifier: GPL-2.0-only": "SPDX GPL-2.0-only",
+        "# SPDX-License-Identifier: Apache-2.0": "SPDX Apache-2.0",
+        "int main() { SPDX-License-Identifier: MIT and much more of other words }": "SPDX MIT",
+        "Distributed under the BSD 3-Clause License": "BSD-3-Clause statement",
+        "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0 statement",
+        "You may use it under the terms of the sea.": None,
+    }
+    texts = dict(license_dice.MORE)
+    bsd = texts["BSD-3-Clause"]
+    whole = {bsd: "BSD-3-Clause", license_dice.TEMPLATES["BSD-2-Clause"]: "BSD-2-Clause", **{v: k for k, v in TEXTS.items()}}
+    other = lambda word: " ".join(f"{word}{k}" for k in range(4000))
+    inner = {other("before") + "\n" + "\n".join(TEXTS[k].split(". ")) + "\n" + other("after"): k for k in ("GPL-2.0", "Apache-2.0")}
+    want = [*lines.items(), *whole.items(), *inner.items()]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = license_dice.scan(docs).collect()
+    for k, (text, name) in enumerate(want):
+        found = [(r["line"], r["license"]) for r in got if r["doc_id"] == k]
+        if text in inner:
+            assert (2, name) in found, (name, found)
+        elif text in whole:
+            assert [f[1] for f in found if f[0] == 0] == [name], (name, found)
+        else:
+            assert [f[1] for f in found] == ([name] if name else []), (text, found)
+
+
 # ------------------------------------------------------------------- registered queries
 def test_op3_and_op9_digests(spark, encoder):
     from railpulse.llm.queries import QUERIES
