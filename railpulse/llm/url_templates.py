@@ -7,7 +7,8 @@ others, templates learnt from the labelled urls of their host decide:
    hexadecimal digits, becomes ``{n}`` or ``{h}`` at once (an extension stays).
    Then level by level, below each branch (host and template so far): where a
    position has more than ``MAX_CHILDREN`` values, those with less than
-   ``MIN_SHARE`` of the branch's urls become ``*``.
+   ``MIN_SHARE`` of the branch's urls become ``*`` and the band of their own smoothed
+   share of blocked urls, so labelled sections stay out of the ``*`` of unlabelled ones.
 2. Similar branches.  The children of a branch are grouped by the band of their
    smoothed share of blocked urls; a child joins its band's common branch (``~``
    and the band) unless its own labelled share differs from the band's by more
@@ -16,8 +17,8 @@ others, templates learnt from the labelled urls of their host decide:
    towards the share over all hosts with the weight of ``WEIGHT`` urls, rejects the
    template from ``REJECT`` on.
 
-Depth is ``LEVELS`` positions; what lies deeper is one last segment ``**``.  Steps 1 to
-3 work on counts of distinct templates, pre-aggregated from all urls; a host with
+Every position counts.  Where all paths of a branch go on alike, that common part is
+taken in one round, so the rounds are as many as a path has forks.  Steps 1 to 3 work on counts of distinct templates, pre-aggregated from all urls; a host with
 a third of all urls is a few rows there.  The urls meet their template again in an
 equi-join that Spark broadcasts or splits by size.
 
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 
 from railpulse.session import materialize
 
-LEVELS = 4
 MAX_CHILDREN = 16
 MIN_SHARE = 0.05
 BANDS = 4
@@ -71,28 +71,36 @@ def _shape(segment: Column) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """The first LEVELS shapes of the segments, and '**' for what lies deeper."""
-    every = F.filter(F.split(path, "/"), lambda s: s != "")
-    first = F.transform(F.slice(every, 1, LEVELS), _shape)
-    return F.when(F.size(every) > LEVELS, F.concat(first, F.array(F.lit("**")))).otherwise(first)
+    """The shapes of the segments."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _shape)
 
 
 def templates(labelled: DataFrame) -> DataFrame:
     """host, key, template, purity, from rows of host, key (array of shapes) and verdict (null: not labelled)."""
     counts = labelled.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("verdict").alias("known"), F.count_if(F.col("verdict") == "block").alias("bad"))
-    tree = materialize(counts.withColumn("branch", F.lit("")), "branches")
+    tree = materialize(counts.withColumn("branch", F.lit("")).withColumn("rest", F.col("key")), "branches")
     total = tree.agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).first()
     prior = (total["bad"] or 0) / total["known"] if total["known"] else 0.0
     smooth = lambda bad, known: (bad + F.lit(WEIGHT * prior)) / (known + F.lit(WEIGHT))
-    for level in range(1, LEVELS + 2):
-        here = tree.withColumn("child", F.when(F.size("key") >= level, F.element_at("key", F.least(F.lit(level), F.size("key")))))
+    band = lambda bad, known: F.least(F.floor(smooth(bad, known) * BANDS), F.lit(BANDS - 1)).cast("int")
+    after = lambda rest, n: F.slice(rest, n + 1, F.size(rest))
+    while True:
+        # what all paths of a branch have in common is what the first and the last in order have
+        ends = tree.groupBy("host", "branch").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        unlike = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
+        ends = ends.select("host", "branch", F.when(unlike > 0, unlike - 1).otherwise(F.least(F.size("low"), F.size("high"))).cast("int").alias("alike"))
+        on = tree.join(ends, ["host", "branch"]).withColumn("branch", F.concat("branch", F.when(F.col("alike") > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", F.lit(1), F.col("alike")), "/"))).otherwise("")))
+        tree = materialize(on.withColumn("rest", after(F.col("rest"), F.col("alike"))).drop("alike"), "branches")
+        if tree.where(F.size("rest") > 0).isEmpty():
+            break
+        here = tree.withColumn("child", F.get("rest", F.lit(0))).withColumn("rest", after(F.col("rest"), F.lit(1)))
         children = here.where("child IS NOT NULL").groupBy("host", "branch", "child").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
         wide = children.groupBy("host", "branch").agg(F.count("*").alias("width"), F.sum("n").alias("all"))
-        named = children.join(wide, ["host", "branch"]).withColumn("name", F.when((F.col("width") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all")), "*").otherwise(F.col("child")))
+        named = children.join(wide, ["host", "branch"]).withColumn("name", F.when((F.col("width") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all")), F.concat(F.lit("*"), band(F.col("bad"), F.col("known")))).otherwise(F.col("child")))
         named = materialize(named.select("host", "branch", "child", "name", "known", "bad"), "children")
         # similar branches: bands of the smoothed share
         branch = named.groupBy("host", "branch", "name").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-        branch = branch.withColumn("band", F.least(F.floor(smooth(F.col("bad"), F.col("known")) * BANDS), F.lit(BANDS - 1)).cast("int"))
+        branch = branch.withColumn("band", band(F.col("bad"), F.col("known")))
         bands = branch.groupBy("host", "branch", "band").agg(F.count("*").alias("width"), F.sum("known").alias("band_known"), F.sum("bad").alias("band_bad"))
         both = branch.join(bands, ["host", "branch", "band"])
         share = smooth(F.col("band_bad"), F.col("band_known"))

@@ -191,6 +191,19 @@ def test_templates_of_blocked_branches_reject(spark):
     assert learnt["h", ("t", "slug-new")] == learnt["h", ("t", "slug-1x")] and learnt["h", ("t", "slug-new")][1] >= url_templates.REJECT
 
 
+def test_small_and_deep_sections_keep_their_labels(spark):
+    """Clean sections of a wide host, and those next to a blocked one far down, are not blocked with it."""
+    rules = [("block", "a.net/es/"), ("block", "a.net/fr/"), ("block", "d.net/1/2x/3x/4x/5x/ads/"), ("allow", "ok.com/")]
+    urls = [f"http://a.net/{s}/p{k}" for s in ("es", "fr") for k in range(20)] + [f"http://a.net/s{c}x/p{k}" for c in "abcdefghijklmnopqrstuvwxyz" for k in range(20)]
+    urls += [f"http://d.net/1/2x/3x/4x/5x/{s}/p{k}" for s in ("ads", "news") for k in range(40)] + [f"http://ok.com/p{k}" for k in range(700)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_templates.judge(pages, rules).collect()}
+    assert len(got) == len(urls)
+    for k, url in enumerate(urls):
+        blocked = any(x in url for x in ("/es/", "/fr/", "/ads/"))
+        assert got[k]["verdict"] == ("block" if blocked else "allow"), (url, got[k])
+
+
 # ------------------------------------------------------------------- pipeline
 def test_stages_of_the_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
