@@ -18,8 +18,8 @@ follows no hit (a hit before it could only raise the coefficient), holds at most
 (2 - t) / t times the template's positions, and is tried only where the hits needed
 lie within that reach; a fold over its places finds the end with the highest
 coefficient.  Of windows that share words the one with most shared bigrams stays,
-then the higher coefficient.  A window is left out if the whole text, or the one line
-in which it lies, matches the same template.  Its line is the one where it begins.
+then the higher coefficient.  A window is left out if the whole text, or a line
+that it touches, matches under the same name.  Its line is the one where it begins.
 
 Defined results: a null or empty text, and a unit without a word, match nothing;
 repeated rows match as often as they occur; line 0 is the whole text, and a text of
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     met = materialize(met.withColumn("best", best).where("best = 1").drop("best"), "units")
     # windows that a unit does not already say
     seen = met.select(F.col("row").alias("r"), F.col("license").alias("name"), F.col("line").alias("at")).distinct()
-    said = (F.col("row") == F.col("r")) & (F.col("license") == F.col("name")) & ((F.col("at") == 0) | ((F.col("at") == F.col("line")) & (F.col("line") == F.col("last"))))
+    said = (F.col("row") == F.col("r")) & (F.col("license") == F.col("name")) & ((F.col("at") == 0) | F.col("at").between(F.col("line"), F.col("last")))
     more = _windows(licensed, listed, threshold).join(seen, said, "left_anti")
     out = met.unionByName(more.select("row", "line", "license", "dice", "n_bigrams"))
     return out.join(licensed.select("row", "doc_id"), "row").select("doc_id", "line", "license", F.round("dice", 6).alias("dice"), "n_bigrams")

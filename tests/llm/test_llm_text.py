@@ -289,6 +289,12 @@ def test_license_names_of_versions_and_wordings(spark):
             assert [f[1] for f in found] == ([name] if name else []), (text, found)
 
 
+def test_a_line_that_matches_gives_no_window_across_it(spark):
+    text = "some words before that say what it is\nLicensed under the Apache License, Version 2.0.\nand many other words behind it"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r["line"], r["license"], r["dice"]) for r in license_dice.scan(docs).collect()] == [(2, "Apache-2.0 statement", 1.0)]
+
+
 # ------------------------------------------------------------------- registered queries
 def test_op3_and_op9_digests(spark, encoder):
     from railpulse.llm.queries import QUERIES
