@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe, compress_quality, histogram_packing, license_dice, permutation_index, pii_bootstrap, segment_topk, subword_langid, trie_join, url_templates
+from railpulse.llm import byte_bpe, compress_quality, histogram_packing, license_dice, permutation_index, pii_bootstrap, segment_topk, subword_langid, trie_join, url_templates, whitening
 from railpulse.llm.common import held_out, table
 
 
@@ -90,6 +90,17 @@ def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.near_copies(docs, words=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector projected on the 32 leading components of all, each with variance 1."""
+    rows = table(spark, sf_dir, "embeddings").where(whitening.finite("embedding")).select("vec_id", whitening.scaled("embedding", 64.0, 1_000_000).alias("x"))
+    found, model = whitening.whiten(rows, components=32, pad=1_000_000)
+    shares = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    return (
+        found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+        .select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+    )
+
+
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_permutation_index": op2_permutation_index,
@@ -101,6 +112,7 @@ QUERIES = {
     "op8_license_dice": op8_license_dice,
     "op9_histogram_packing": op9_histogram_packing,
     "op10_trie_join": op10_trie_join,
+    "op11_jacobi_davidson": op11_jacobi_davidson,
 }
 
 def _op8_sql() -> str:
