@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.llm import byte_bpe, compress_quality, histogram_packing, license_dice, permutation_index, pii_bootstrap, segment_topk, subword_langid, trie_join, url_templates, whitening
+from railpulse.llm import blob_ledger, byte_bpe, compress_quality, conversation_repair, histogram_packing, license_dice, permutation_index, pii_bootstrap, segment_topk, subword_langid, trie_join, url_templates, whitening
 from railpulse.llm.common import held_out, table
+from railpulse.session import scratch_path
 
 
 URL_RULES = [
@@ -101,6 +104,43 @@ def op11_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, found once for each distinct text and joined back to all documents that hold it."""
+    ledger = blob_ledger.Ledger(spark, scratch_path(spark, f"ledger-{uuid.uuid4().hex}"))
+    ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "documents", ["doc_id"])
+    base = [r.kind for r in blob_ledger.RULES if r.base]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return ledger.report("documents").select("doc_id", *[count(k) for k in base], F.sha2(blob_ledger.joined(of_base), 256).alias("base_sha256"), blob_ledger.joined(F.col("spans")).alias("spans"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` with the faults that their keys' checksums stand for; nulls are one space."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", plain("conv_id"), plain("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    return rows.select(
+        "conv_id", "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op13_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and a digest of the repaired rows."""
+    rows = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(damaged(rows))
+    parts = [rows.select("conv_id").distinct(), repaired.conversations.drop("n_rows"), conversation_repair.gaps(repaired.stored), conversation_repair.digests(repaired.rows)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    number = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c)
+    return whole.groupBy("conv_id").agg(
+        *[number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_permutation_index": op2_permutation_index,
@@ -113,6 +153,8 @@ QUERIES = {
     "op9_histogram_packing": op9_histogram_packing,
     "op10_trie_join": op10_trie_join,
     "op11_jacobi_davidson": op11_jacobi_davidson,
+    "op12_blob_ledger": op12_blob_ledger,
+    "op13_repair_grammar": op13_repair_grammar,
 }
 
 def _op8_sql() -> str:
@@ -136,6 +178,98 @@ FROM m WHERE CAST(2 * shared AS DOUBLE) / (n + b) >= 0.8
 """
 
 
+def _op12_sql() -> str:
+    """Places from the lengths of the matches and of what lies between them."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = "\n  UNION ALL\n".join(
+        f"""  SELECT doc_id, rid, {k} AS place, {quoted(r.kind)} AS kind, {str(r.base).lower()} AS base, {quoted(r.test)} AS test,
+    regexp_extract_all(t, {quoted(r.pattern)}) AS m, string_split_regex(t, {quoted(r.pattern)}) AS g FROM d"""
+        for k, r in enumerate(blob_ledger.RULES))
+    one = "kind || ':' || s || ':' || e, ',' ORDER BY s, place"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {quoted(r.kind)}) AS n_{r.kind}" for r in blob_ledger.RULES if r.base)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+k AS (
+{kinds}),
+p AS (
+  SELECT rid, place, kind, base, test, unnest(m) AS hit, unnest(range(1, len(m) + 1)) AS i, g, m FROM k WHERE len(m) > 0),
+s AS (
+  SELECT rid, place, kind, base, hit,
+    CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+    length(hit) AS len
+  FROM p WHERE regexp_full_match(hit, test)),
+f AS (SELECT *, s + len AS e FROM s),
+a AS (SELECT rid, {counts}, string_agg({one}) FILTER (WHERE base) AS b, string_agg({one}) AS spans FROM f GROUP BY rid)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in blob_ledger.RULES if r.base)},
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+_OP13_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+      flatten(list_transform(string_split(k, ''), lambda c: list_concat([CAST(ord(c) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 20 AS fault FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed WHERE fault <> 0),
+convs AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (
+  SELECT cid, turn, role, text,
+    row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id),
+marked AS (SELECT *, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) AS seen FROM numbered),
+rows AS (
+  SELECT cid, turn, role, text, i, left(role, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+      WHEN regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS unlawful
+  FROM marked),
+counts AS (
+  SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE unlawful) AS illegal FROM rows GROUP BY cid),
+nxt(p, put, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(p, q, k) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
+edit(p, q, put, name, price) AS (
+  SELECT p, q, put, 'K', 0 FROM nxt UNION ALL SELECT p, q, NULL, 'R', 3 FROM nxt WHERE put <> 's'
+  UNION ALL SELECT p, p, NULL, 'D', 4 FROM (VALUES (0), (1), (2), (3)) AS v(p)),
+step(p, q, put, name, price) AS (SELECT ins.p, edit.q, put, repeat('I', k) || name, price + 3 * k FROM ins JOIN edit ON ins.q = edit.p),
+way(cid, i, q, best) AS (
+  SELECT cid, CAST(0 AS BIGINT), 0, '00000000' FROM counts
+  UNION ALL
+  SELECT way.cid, way.i + 1, step.q,
+    min(printf('%08d', CAST(left(best, 8) AS INTEGER) + price + CASE WHEN fault = 'truncated' AND name NOT LIKE '%D' THEN 3 ELSE 0 END) || substr(best, 9) || name)
+  FROM way JOIN rows ON rows.cid = way.cid AND rows.i = way.i + 1
+  JOIN step ON step.p = way.q AND (put IS NULL OR put = initial) AND (name LIKE '%D' OR fault NOT IN ('blank', 'duplicate'))
+  GROUP BY way.cid, way.i, step.q),
+final AS (
+  SELECT cid, min(printf('%08d', CAST(left(best, 8) AS INTEGER) + 3 * k) || substr(best, 9) || repeat('I', k)) AS best
+  FROM way JOIN counts USING (cid) JOIN ins ON ins.p = way.q WHERE i = n AND ins.q IN (0, 3) GROUP BY cid),
+letters AS (SELECT cid, substr(best, 9) AS audit, unnest(string_split(substr(best, 9), '')) AS e, unnest(range(1, length(best) - 7)) AS j FROM final),
+aligned AS (
+  SELECT cid, j, e, count(*) FILTER (WHERE e <> 'I') OVER upto AS i, count(*) FILTER (WHERE e <> 'D') OVER upto AS o FROM letters
+  WINDOW upto AS (PARTITION BY cid ORDER BY j)),
+kept AS (
+  SELECT a.cid, j, e, o, r.role, r.text, max(o = 1 AND e = 'K' AND initial = 's') OVER (PARTITION BY a.cid) AS led
+  FROM aligned AS a LEFT JOIN rows AS r ON r.cid = a.cid AND r.i = a.i AND e <> 'I' WHERE e <> 'D'),
+lines AS (
+  SELECT cid, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS t
+  FROM kept GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(left(best, 8) AS BIGINT), 0) AS cost, coalesce(substr(best, 9), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM convs LEFT JOIN counts USING (cid) LEFT JOIN final USING (cid) LEFT JOIN lines USING (cid)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_blob_ledger": _op12_sql(),
+    "op13_repair_grammar": _OP13_SQL,
     "op8_license_dice": _op8_sql(),
 }
