@@ -13,6 +13,12 @@ VIEW_COLUMNS = ["id", "set_number", "trip_number", "line_code", "station_code",
                 "calculated_lat", "calculated_lng", "heading", "timestamp"]
 
 
+def order_columns() -> list[str]:
+    """What breaks ties behind timestamp and countdown rank."""
+    return ["id", "trip_number", "station_code", "station_name", "platform_name",
+            "current_location", "time_to_station", "destination"]
+
+
 def global_max_timestamp(df: DataFrame, ts_col: str = "timestamp"):
     """Newest timestamp of the fact table as a driver-side scalar.
 
@@ -48,9 +54,7 @@ def latest_positions(df: DataFrame, window: str = LATEST_WINDOW, line: str | Non
         recent = recent.filter(F.col("line_code") == line)
     order = [F.col("timestamp").desc(), countdown_rank("time_to_station").asc(),
              F.col("id").asc_nulls_last()]
-    order += [F.col(c).asc() for c in ("trip_number", "station_code", "station_name",
-                                        "platform_name", "current_location",
-                                        "time_to_station", "destination")]
+    order += [F.col(c).asc() for c in order_columns()[1:]]
     w = Window.partitionBy("set_number", "line_code").orderBy(*order)
     return (recent.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") == 1)

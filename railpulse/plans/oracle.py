@@ -699,6 +699,12 @@ ORACLE["q_retention"] = with_ctes(["predictions"], f"""
 SELECT count(*) FILTER (WHERE timestamp < {AS_OF} - INTERVAL '7 days') AS deleted_count,
        count(*) FILTER (WHERE timestamp >= {AS_OF} - INTERVAL '7 days') AS kept_count
 FROM predictions""")
+ORACLE["q_fact_sweep"] = with_ctes(["predictions"], """
+SELECT set_number, trip_number, line_code, station_code, platform_code, time_to_station, timestamp,
+       (SELECT count(*) FROM predictions WHERE timestamp < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '7 days 5 hours') AS deleted_count,
+       count(*) OVER () AS kept_count
+FROM predictions WHERE timestamp >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '7 days 5 hours'""")
+ORACLE["q_fact_latest"] = with_ctes(["predictions"], latest_sql().replace("SELECT id, ", "SELECT ", 1))
 ORACLE["q_recent_count"] = with_ctes(["predictions"], f"""
 SELECT count(*) FILTER (WHERE timestamp > {AS_OF} - INTERVAL '5 days') AS recent_rows,
        count(*) AS total_rows FROM predictions""")
@@ -717,3 +723,56 @@ FROM (SELECT *, CASE WHEN l_shipdate >= TIMESTAMP '1997-01-01' THEN CAST(120 AS
       FROM lineitem)
 GROUP BY l_linenumber
 """
+
+
+# ---------------------------------------------------------------- C15: one observation after the other
+_SNAPSHOTS = dict(EXTRA)
+_SNAPSHOTS["latest"] = (["predictions"], f"""
+SELECT {VIEW_COLS} FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY set_number, line_code, timestamp
+      ORDER BY {RANK_SQL.format(c='time_to_station')}, id) AS rn FROM predictions p) WHERE rn = 1""")
+_SNAPSHOTS["polls"] = (["positions"], """
+SELECT timestamp AS ts, lag(timestamp) OVER (ORDER BY timestamp) AS prev_poll
+FROM (SELECT DISTINCT timestamp FROM positions WHERE lat IS NOT NULL AND lng IS NOT NULL)""")
+_SNAPSHOTS["obs"] = (["positions", "polls"], """
+SELECT set_number, line_code, row_number() OVER (PARTITION BY set_number, line_code ORDER BY timestamp) AS i,
+       timestamp AS ts, station_name, CAST(lat AS DOUBLE) AS from_lat, CAST(lng AS DOUBLE) AS from_lng,
+       CAST(to_lat AS DOUBLE) AS to_lat, CAST(to_lng AS DOUBLE) AS to_lng,
+       CAST(time_to_station_seconds AS DOUBLE) AS eta_s, epoch_ms(timestamp) AS ms,
+       CAST(predicted_next_lat AS DOUBLE) AS pred_lat, CAST(predicted_next_lng AS DOUBLE) AS pred_lng,
+       CAST(predicted_travel_time AS DOUBLE) AS pred_tt, epoch_ms(prev_poll) AS prev_ms
+FROM positions JOIN polls ON polls.ts = positions.timestamp WHERE lat IS NOT NULL AND lng IS NOT NULL""")
+_MOVING = "s.to_lat IS NOT NULL AND s.to_lng IS NOT NULL AND s.eta_s > 0"
+_REACHED = "least(1.0, greatest(0.0, (o.ms - s.data_ts_ms) / 1000.0) / s.eta_s)"
+
+
+def _reached(c: str) -> str:
+    """Where the old trajectory is by now; a re-anchored one always has an ETA, so no dwelling."""
+    return (f"CASE WHEN {_MOVING} THEN s.from_{c} + (s.to_{c} - s.from_{c}) * {_REACHED} ELSE s.from_{c} END")
+
+
+_SNAPSHOTS["merged"] = (["obs"], f"""
+SELECT set_number, line_code, i, ts, from_lat, from_lng, to_lat, to_lng, eta_s, ms AS data_ts_ms,
+       pred_lat, pred_lng, pred_tt, station_name, 0 AS reanchors FROM obs WHERE i = 1
+UNION ALL
+SELECT set_number, line_code, i, ts,
+  CASE WHEN act = 'replace' THEN n_from_lat WHEN act = 'keep' THEN from_lat ELSE r_lat END,
+  CASE WHEN act = 'replace' THEN n_from_lng WHEN act = 'keep' THEN from_lng ELSE r_lng END,
+  CASE WHEN act = 'keep' THEN to_lat ELSE n_to_lat END, CASE WHEN act = 'keep' THEN to_lng ELSE n_to_lng END,
+  CASE WHEN act = 'replace' THEN n_eta WHEN act = 'keep' THEN eta_s ELSE greatest(0.0, (n_ms + n_eta * 1000 - n_ms) / 1000.0) END,
+  CASE WHEN act = 'keep' THEN data_ts_ms ELSE n_ms END,
+  n_pred_lat, n_pred_lng, n_pred_tt, n_station,
+  CASE WHEN act = 'replace' THEN 0 WHEN act = 'keep' THEN reanchors ELSE reanchors + 1 END
+FROM (
+  SELECT s.* EXCLUDE (i, ts), o.i, o.ts, o.ms AS n_ms, o.eta_s AS n_eta, o.station_name AS n_station,
+    o.from_lat AS n_from_lat, o.from_lng AS n_from_lng, o.to_lat AS n_to_lat, o.to_lng AS n_to_lng,
+    o.pred_lat AS n_pred_lat, o.pred_lng AS n_pred_lng, o.pred_tt AS n_pred_tt,
+    {_reached("lat")} AS r_lat, {_reached("lng")} AS r_lng,
+    CASE WHEN coalesce(o.prev_ms - epoch_ms(s.ts) >= 90000, false) OR s.station_name IS DISTINCT FROM o.station_name
+           OR s.eta_s IS NULL OR o.eta_s IS NULL THEN 'replace'
+         WHEN abs((o.ms + o.eta_s * 1000) - (s.data_ts_ms + s.eta_s * 1000)) < 20000 THEN 'keep' ELSE 'anchor' END AS act
+  FROM merged s JOIN obs o ON o.set_number = s.set_number AND o.line_code IS NOT DISTINCT FROM s.line_code AND o.i = s.i + 1)""")
+ORACLE["q_eta_reconcile"] = with_ctes(["merged"], """
+SELECT set_number, line_code, ts AS last_seen, i AS n_obs, from_lat, from_lng, to_lat, to_lng, eta_s,
+       data_ts_ms, pred_lat, pred_lng, pred_tt, station_name, reanchors
+FROM (SELECT *, max(i) OVER (PARTITION BY set_number, line_code) AS n FROM merged) WHERE i = n""", _SNAPSHOTS).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -289,8 +289,13 @@ def q_overlap_spread(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- C1, C23, A13, C16, C15
+import uuid  # noqa: E402
+from datetime import datetime  # noqa: E402
+
 from railpulse.operators import flatten  # noqa: E402
+from railpulse.session import scratch_path  # noqa: E402
 from railpulse.sinks import writers  # noqa: E402
+from railpulse.sinks.fact_table import FactTable, as_fact  # noqa: E402
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -306,6 +311,34 @@ def q_retention(spark, sf_dir):
                                     F.lit(AS_OF).cast("timestamp_ntz"), "7 days")
 
 
+def _facts(spark, sf_dir):
+    """All predictions in a fact table, in two batches by time, ids given in the order of the fixture's."""
+    table = FactTable(spark, scratch_path(spark, f"facts-{uuid.uuid4().hex}"))
+    rows = fx.predictions(spark, sf_dir)
+    early = F.col("timestamp") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    for k, part in enumerate((rows.where(early), rows.where(~early))):
+        table.append(as_fact(part.orderBy("id"), F.col("timestamp")), k, "fixture")
+    return table
+
+
+@query("q_fact_sweep")
+def q_fact_sweep(spark, sf_dir):
+    """The rows that a sweep leaves in the fact table, with what it says it did."""
+    table = _facts(spark, sf_dir)
+    swept = table.prune(datetime.fromisoformat(AS_OF), "7 days 5 hours")
+    return table.read().select(
+        "set_number", "trip_number", "line_code", "station_code", "platform_code", "time_to_station",
+        "timestamp", F.lit(swept.deleted).alias("deleted_count"), F.lit(swept.kept).alias("kept_count"))
+
+
+@query("q_fact_latest")
+def q_fact_latest(spark, sf_dir):
+    """C2 over the fact table: the bound is in the manifest, folders outside the window stay closed."""
+    table = _facts(spark, sf_dir)
+    table.compact(many=1)
+    return table.latest(FIXTURE_WINDOW).drop("id")
+
+
 @query("q_recent_count")
 def q_recent_count(spark, sf_dir):
     return latest.recent_count(fx.predictions(spark, sf_dir),

@@ -1,83 +1,39 @@
-"""Sinks: micro-batch append, table replace/upsert/seed, retention, envelopes, GeoJSON.
+"""Sinks: keyed dimension tables, retention counts, envelopes, GeoJSON.
 
 All writes go from the executors (``DataFrame.write``); nothing is collected
 to the driver.  Errors are raised, never swallowed, so a failed micro-batch
 is retried from its checkpointed offsets instead of being lost.
 
-Tables are versioned folders ``<table>/v=<n>``: a replace/upsert writes the
-next version and readers take the newest complete one, which gives an atomic
-swap without a table format.
+The fact table is ``sinks.fact_table``, tables with a key are ``sinks.keyed_table``.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railpulse.operators.refdata import insert_if_absent, upsert
 from railpulse.operators.features import to_geojson
+from railpulse.sinks.keyed_table import Changed, KeyedTable
 
 
-# --------------------------------------------------------------------------- S8
-def append_batch(batch: DataFrame, batch_id: int, path: str,
-                 partition_by: tuple[str, ...] = ("ingest_date",)) -> None:
-    """Idempotent micro-batch append: the batch's folder is overwritten on retry.
-
-    ``ingested_at`` is one timestamp per micro-batch (``current_timestamp``
-    is fixed within a batch), like the transaction time of a bulk insert.
-    """
-    out = batch.withColumn("ingested_at", F.current_timestamp().cast("timestamp_ntz"))
-    out = out.withColumn("ingest_date", F.to_date("ingested_at"))
-    (out.write.mode("overwrite").partitionBy(*partition_by)
-     .parquet(os.path.join(path, f"batch_id={batch_id}")))
-
-
-# --------------------------------------------------------------------------- versioned tables
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(
-                st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    v = _versions(spark, path)
-    return spark.read.parquet(os.path.join(path, f"v={v[-1]}")) if v else None
+# --------------------------------------------------------------------------- S9-S11
+def read_table(spark: SparkSession, path: str, key: str = "code") -> DataFrame | None:
+    return KeyedTable(spark, path, [key]).read()
 
 
-def write_version(df: DataFrame, path: str) -> str:
-    v = _versions(df.sparkSession, path)
-    target = os.path.join(path, f"v={(v[-1] + 1) if v else 0}")
-    df.write.mode("errorifexists").parquet(target)
-    return target
+def replace_table(df: DataFrame, path: str, key: str = "code") -> Changed:
+    """Delete-all + bulk insert, visible as one change."""
+    return KeyedTable(df.sparkSession, path, [key]).replace(df)
 
 
-def replace_table(df: DataFrame, path: str) -> str:
-    """Delete-all + bulk insert, as a new version."""
-    return write_version(df, path)
-
-
-def upsert_table(df: DataFrame, path: str, key: str = "code") -> str:
+def upsert_table(df: DataFrame, path: str, key: str = "code") -> Changed:
     """Insert or update-all-columns on key conflict."""
-    old = read_table(df.sparkSession, path)
-    return write_version(df if old is None else upsert(old, df, key), path)
+    return KeyedTable(df.sparkSession, path, [key]).upsert(df)
 
 
-def seed_table(df: DataFrame, path: str, key: str = "code") -> str:
+def seed_table(df: DataFrame, path: str, key: str = "code") -> Changed:
     """Insert rows whose key is absent."""
-    old = read_table(df.sparkSession, path)
-    return write_version(df if old is None else insert_if_absent(old, df, key), path)
+    return KeyedTable(df.sparkSession, path, [key]).insert_if_absent(df)
 
 
 # --------------------------------------------------------------------------- C23 / S14
@@ -88,25 +44,6 @@ def retention_counts(df: DataFrame, as_of, keep: str, ts_col: str = "timestamp")
                   F.count_if(F.col(ts_col) >= cutoff).alias("kept_count"))
 
 
-def prune(spark: SparkSession, path: str, as_of, keep: str, ts_col: str = "timestamp",
-          date_col: str = "ingest_date") -> int:
-    """Delete rows older than ``as_of - keep``; returns the deleted count.
-
-    The new version keeps whole newer day partitions (pruned by the
-    partition filter) and rewrites only the boundary day with a row filter.
-    """
-    cur = read_table(spark, path)
-    if cur is None:
-        return 0
-    cutoff = F.lit(as_of) - F.expr(f"INTERVAL {keep}")
-    deleted = cur.filter(F.col(ts_col) < cutoff).count()
-    kept = cur.filter((F.col(date_col) >= F.to_date(cutoff)) & (F.col(ts_col) >= cutoff))
-    target_v = _versions(spark, path)
-    target = os.path.join(path, f"v={target_v[-1] + 1}")
-    kept.write.mode("errorifexists").partitionBy(date_col).parquet(target)
-    return deleted
-
-
 # --------------------------------------------------------------------------- S2 / S16
 def to_envelope(snapshots: DataFrame, source: str = "tracker") -> DataFrame:
     """(line_code, xml, ts) -> value + 4 headers, as written to the topic."""

@@ -1,8 +1,11 @@
 """Structured Streaming ingest and per-batch jobs.
 
 ``start_ingest``: raw messages -> ``flatten_predictions`` (stateless, append)
--> ``foreachBatch`` idempotent Parquet append, with its own checkpoint.  The
-default trigger is 10 s processing time; tests pass ``availableNow``.
+-> ``foreachBatch`` append to the fact table (``sinks.fact_table``), with its own
+checkpoint.  The default trigger is 10 s processing time; tests pass ``availableNow``.
+A batch's rows carry the batch's own time, which the checkpoint keeps with the
+offsets, and its folders are named after the query and the batch: a batch that is run
+again after a failure ends as if it had been run once.
 
 ``start_positions``: the stream-static join to dimensions (T10).  Each
 micro-batch is joined to dimension tables read inside the batch function, so
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from railpulse.operators.flatten import flatten_predictions
-from railpulse.sinks.writers import append_batch
+from railpulse.sinks.fact_table import FactTable, as_fact
 
 DEFAULT_TRIGGER = {"processingTime": "10 seconds"}
 
@@ -26,10 +29,15 @@ DEFAULT_TRIGGER = {"processingTime": "10 seconds"}
 def start_ingest(raw: DataFrame, sink_path: str, checkpoint: str,
                  trigger: dict | None = None, query_name: str | None = None
                  ) -> StreamingQuery:
-    """Flatten each micro-batch and append it under ``sink_path``."""
-    rows = flatten_predictions(raw)
-    w = (rows.writeStream
-         .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, sink_path))
+    """Flatten each micro-batch and append it to the fact table at ``sink_path``."""
+    table = FactTable(raw.sparkSession, sink_path)
+    rows = as_fact(flatten_predictions(raw))
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        table.append(batch, batch_id, source[:8])
+
+    w = (rows.writeStream.foreachBatch(append)
          .option("checkpointLocation", checkpoint)
          .outputMode("append")
          .trigger(**(trigger or DEFAULT_TRIGGER)))

@@ -1,12 +1,18 @@
 """Keyed client state in Structured Streaming (T8, T9; stream form of C15/C16).
 
 Per train key the state holds the current trajectory.  Each micro-batch
-delivers the key's new observations (sorted by time here, since order
-inside a micro-batch is not guaranteed) and the same transition rules as the
-batch fold apply.  A key not seen for ``ttl`` is removed by a processing-
-time timeout; the removal is emitted as a row with ``removed = true``.
-
-This is the one place with Python in the data path: the transition is a
+delivers the key's new observations (sorted by poll here, since order
+inside a micro-batch is not guaranteed) and the same rule as in the batch fold
+applies (``operators.reconciliation``).
+
+Time is poll time.  The watermark follows the newest poll; a key that no poll of
+the last ``ttl`` has shown is removed by an event-time timer, at the first poll that comes
+``ttl`` or more after its last sighting, and the removal is emitted as a row
+with ``removed = true``.  A key that comes back is new if the poll before (``prev_ms``,
+``trajectory.previous_polls`` or whatever wrote the snapshots) was so late already, also when
+both polls lie in one micro-batch and no timer could fire between them.
+
+This is the one place with Python in a stream: the transition is a
 per-key state machine, run through ``applyInPandasWithState`` (Arrow
 batches per key group), never a row-at-a-time UDF.
 """
@@ -17,65 +23,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from railpulse.functions.constants import (DEFAULT_TRAVEL_TIME_SECONDS,
-                                           ETA_SHIFT_TOLERANCE_S, PLATFORM_DWELL_S,
-                                           PREDICTED_DEPARTURE_CAP, TRAIN_RETENTION_S)
+from railpulse.functions.constants import TRAIN_RETENTION_S
+from railpulse.operators.reconciliation import FIELDS, transition
 
 STATE_SCHEMA = ("from_lat double, from_lng double, to_lat double, to_lng double, eta_s double, "
                 "data_ts_ms long, pred_lat double, pred_lng double, pred_tt double, "
                 "station_name string, last_seen_ms long, reanchors int")
 OUTPUT_SCHEMA = ("set_number string, line_code string, " + STATE_SCHEMA
                  + ", n_obs long, removed boolean")
-FIELDS = [f.split()[0] for f in STATE_SCHEMA.split(", ")]
-
-
-def _nan(x):
-    return x is None or (isinstance(x, float) and x != x)
-
-
-def dead_reckon(st: dict, now_ms: int) -> tuple[float, float]:
-    """Position of a state at ``now_ms`` (same rule as the batch expression)."""
-    eta = st["eta_s"]
-    el = (now_ms - st["data_ts_ms"]) / 1000.0
-    if not _nan(st["to_lat"]) and not _nan(st["to_lng"]) and not _nan(eta) and eta > 0:
-        f = min(1.0, max(0.0, el) / eta)
-        return (st["from_lat"] + (st["to_lat"] - st["from_lat"]) * f,
-                st["from_lng"] + (st["to_lng"] - st["from_lng"]) * f)
-    if _nan(eta) and not _nan(st["pred_lat"]) and not _nan(st["pred_lng"]) and \
-            el > PLATFORM_DWELL_S:
-        tt = DEFAULT_TRAVEL_TIME_SECONDS if _nan(st["pred_tt"]) else st["pred_tt"]
-        f = min(PREDICTED_DEPARTURE_CAP, (el - PLATFORM_DWELL_S) / tt)
-        return (st["from_lat"] + (st["pred_lat"] - st["from_lat"]) * f,
-                st["from_lng"] + (st["pred_lng"] - st["from_lng"]) * f)
-    return st["from_lat"], st["from_lng"]
-
-
-def transition(st: dict | None, o: dict, now_ms: int, ttl_s: int = TRAIN_RETENTION_S) -> dict:
-    """One observation merged into the (possibly absent) state."""
-    fresh = {"from_lat": o["from_lat"], "from_lng": o["from_lng"], "to_lat": o["to_lat"],
-             "to_lng": o["to_lng"], "eta_s": o["eta_s"], "data_ts_ms": o["data_ts_ms"],
-             "pred_lat": o["pred_lat"], "pred_lng": o["pred_lng"], "pred_tt": o["pred_tt"],
-             "station_name": o["station_name"], "last_seen_ms": now_ms, "reanchors": 0}
-    if st is None or now_ms - st["last_seen_ms"] >= ttl_s * 1000:
-        return fresh
-    same = st["station_name"] == o["station_name"]
-    if not (same and not _nan(st["eta_s"]) and not _nan(o["eta_s"])):
-        fresh["reanchors"] = st["reanchors"]
-        return fresh
-    old_eta = st["data_ts_ms"] + st["eta_s"] * 1000
-    new_eta = o["data_ts_ms"] + o["eta_s"] * 1000
-    nxt = dict(st)
-    nxt.update(pred_lat=o["pred_lat"], pred_lng=o["pred_lng"], pred_tt=o["pred_tt"],
-               station_name=o["station_name"], last_seen_ms=now_ms)
-    if abs(new_eta - old_eta) < ETA_SHIFT_TOLERANCE_S * 1000:
-        return nxt
-    lat, lng = dead_reckon(st, now_ms)
-    nxt.update(from_lat=lat, from_lng=lng, to_lat=o["to_lat"], to_lng=o["to_lng"],
-               data_ts_ms=now_ms, eta_s=max(0.0, (new_eta - now_ms) / 1000.0),
-               reanchors=st["reanchors"] + 1)
-    return nxt
 
 
 def _reconcile_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState
@@ -91,22 +49,29 @@ def _reconcile_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("now_ms", kind="stable")
     n = 0
     for o in pdf.to_dict("records"):
-        st = transition(st, o, int(o["now_ms"]))
+        if st is not None and o["now_ms"] <= st["last_seen_ms"]:
+            continue  # an older poll than the one already shown
+        st = transition(st, o)
         n += 1
+    if not n:
+        return
     state.update(tuple(st[f] for f in FIELDS))
-    state.setTimeoutDuration(TRAIN_RETENTION_S * 1000)
+    # timers fire once the watermark is beyond them: at the first poll ttl or more after the last
+    state.setTimeoutTimestamp(max(st["last_seen_ms"] + TRAIN_RETENTION_S * 1000 - 1,
+                                  state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([{"set_number": set_number, "line_code": line_code, **st, "n_obs": n,
                          "removed": False}])
 
 
 def reconcile_stream(obs: DataFrame) -> DataFrame:
-    """Streaming C15/C16 over observation rows (schema of ``trajectory.observations``)."""
+    """Streaming C15/C16 over observation rows (schema of ``trajectory.observations``) with ``prev_ms``."""
     cols = ["set_number", "line_code", "station_name", "from_lat", "from_lng", "to_lat",
-            "to_lng", "eta_s", "data_ts_ms", "pred_lat", "pred_lng", "pred_tt", "now_ms"]
+            "to_lng", "eta_s", "data_ts_ms", "pred_lat", "pred_lng", "pred_tt", "now_ms", "prev_ms"]
     o = obs.select(*cols)
     for c in ("from_lat", "from_lng", "to_lat", "to_lng", "eta_s", "pred_lat", "pred_lng",
               "pred_tt"):
         o = o.withColumn(c, o[c].cast("double"))
+    o = o.withColumn("poll", F.timestamp_millis("now_ms")).withWatermark("poll", "0 seconds")
     return o.groupBy("set_number", "line_code").applyInPandasWithState(
         _reconcile_group, OUTPUT_SCHEMA, STATE_SCHEMA, "update",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)

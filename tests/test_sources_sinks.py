@@ -77,7 +77,7 @@ def test_envelope_round_trip(spark):
         map(tuple, rows.select("set_number", "line_code").collect()), key=str)
 
 
-def test_versioned_tables_and_retention(spark, tmp_dir):
+def test_dimension_tables(spark, tmp_dir):
     path = os.path.join(tmp_dir, "stations")
     a = spark.createDataFrame([("A", "Old A"), ("B", "Old B")], "code string, name string")
     b = spark.createDataFrame([("B", "New B"), ("C", "New C")], "code string, name string")
@@ -89,13 +89,6 @@ def test_versioned_tables_and_retention(spark, tmp_dir):
                                              "code string, name string"), path)
     assert {r.code: r.name for r in writers.read_table(spark, path).collect()} == {
         "A": "Old A", "B": "New B", "C": "New C", "D": "Seed D"}
-    facts = os.path.join(tmp_dir, "facts")
-    p = fx.predictions(spark, SMALL).withColumn("ingest_date", F.to_date("timestamp"))
-    p.write.partitionBy("ingest_date").parquet(os.path.join(facts, "v=0"))
-    as_of = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    expect = p.filter(F.col("timestamp") < F.lit("2024-01-13 00:00:00").cast("timestamp_ntz")).count()
-    assert writers.prune(spark, facts, as_of, "7 days") == expect
-    assert writers.read_table(spark, facts).count() == p.count() - expect
 
 
 def test_evolved_schema_read(spark, tmp_dir):

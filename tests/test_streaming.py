@@ -1,15 +1,14 @@
-"""Structured Streaming: file source -> flatten -> idempotent sink; keyed state."""
+"""Structured Streaming: file source -> flatten -> idempotent sink."""
 
 import os
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from railpulse.operators import flatten
 from railpulse.plans import fixtures as fx
 from railpulse.schemas import RAW_MESSAGE
 from railpulse.sources import readers
-from railpulse.streaming import ingest, state
+from railpulse.streaming import ingest
 from conftest import SMALL
 
 ONCE = {"availableNow": True}
@@ -40,8 +39,8 @@ def test_ingest_idempotent_restart(spark, tmp_dir):
                             trigger=ONCE)
     q.awaitTermination()
     assert spark.read.parquet(sink).count() == n1 + flatten.flatten_predictions(b).count()
-    row = spark.read.parquet(sink).select("ingested_at", "ingest_date").first()
-    assert row.ingested_at is not None and row.ingest_date is not None
+    row = spark.read.parquet(sink).select("timestamp", "ingest_date").first()
+    assert row.timestamp is not None and row.ingest_date == row.timestamp.date()
 
 
 def test_failed_batch_is_retried_not_lost(spark, tmp_dir):
@@ -66,40 +65,6 @@ def test_failed_batch_is_retried_not_lost(spark, tmp_dir):
     assert spark.read.parquet(sink).count() == flatten.flatten_predictions(msgs).count()
 
 
-def test_reconcile_stream_state(spark, tmp_dir):
-    from test_reconcile import OBS, replay
-    land, out, ck = (os.path.join(tmp_dir, x) for x in ("obs", "out", "ck"))
-    pdf = pd.DataFrame(OBS)
-    polls = sorted(pdf.now_ms.unique())
-    schema = spark.createDataFrame(pdf).schema
-    for i, t in enumerate(polls):           # one file per poll, one poll per micro-batch
-        spark.createDataFrame(pdf[pdf.now_ms == t], schema).coalesce(1).write.parquet(
-            os.path.join(land, f"poll={i:03d}"))
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land + "/*")
-
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"b={batch_id:05d}"))
-
-    # processing-time timeouts schedule no-data batches forever; for a bounded
-    # (availableNow) run they are switched off so the query ends after the data
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    try:
-        q = (state.reconcile_stream(src).writeStream.foreachBatch(sink).outputMode("update")
-             .option("checkpointLocation", ck).trigger(**ONCE).start())
-        q.awaitTermination(300)
-        q.stop()
-    finally:
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
-    res = spark.read.parquet(out).withColumn("_f", F.input_file_name()).toPandas()
-    res = res[~res.removed].sort_values("_f").groupby(["set_number", "line_code"]).last()
-    expect = replay(OBS)
-    for (k, ln), st in expect.items():
-        r = res.loc[(k, ln)]
-        assert abs(r.data_ts_ms - st["data_ts_ms"]) == 0
-        assert r.station_name == st["station_name"]
-        assert abs((r.eta_s if r.eta_s == r.eta_s else -1) - (st["eta_s"] if st["eta_s"] is not None else -1)) < 1e-9
-
-
 def test_xml_landing_dir_and_stream_static_positions(spark, tmp_dir):
     from railpulse.operators import position
     from railpulse.plans import queries as Q
