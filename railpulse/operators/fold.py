@@ -9,7 +9,8 @@ neighbours at a time, level by level, until one per key is left.  The last block
 key is folded from the accumulator that the others give; the first one starts the
 fold, so what it hands on is a number.
 
-No key is gathered: the rows are dealt by ranges of (key, order), so a hot key lies
+Keys of up to ``SHORT`` values, counted first, are folded in one aggregation over their
+sorted values.  Longer ones are never gathered: their rows are dealt by ranges of (key, order), so a hot key lies
 in many partitions; a row's rank is its place within (key, partition) plus the rows
 of the key's earlier partitions; and every collected list has ``BLOCK`` items at most.
 """
@@ -23,6 +24,8 @@ from railpulse.session import materialize
 
 #: 2 ** BLOCK must exceed the range of a key's values; 64 does for any bigint.
 BLOCK = 64
+#: A list of so many values of one key at most is held by a task.
+SHORT = 16 * BLOCK
 
 
 def _fold(xs: Column, start: Column) -> Column:
@@ -62,6 +65,28 @@ def halving_fold(df: DataFrame, keys: list[str], order: list[str], value: str,
 
     Keys and values must not be null; rows that tie in ``order`` must have equal values.
     """
+    df = materialize(df, "fold-input")
+    long = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SHORT)
+                       .select(*keys), "fold-long")
+    if long.isEmpty():
+        return _fold_short(df, keys, order, value, out, extra_aggs)
+    short = _fold_short(df.join(long, keys, "left_anti"), keys, order, value, out, extra_aggs)
+    return short.unionByName(_fold_long(df.join(long, keys, "left_semi"), keys, order, value, out, extra_aggs))
+
+
+def _fold_short(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
+                extra_aggs: tuple[Column, ...]) -> DataFrame:
+    """Keys of at most ``SHORT`` values: one list each."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("bigint").alias("_v"))))
+    got = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *extra_aggs, listed.alias("_xs"))
+    extra = [c for c in got.columns if c not in (*keys, "n", "_xs")]
+    xs = F.transform("_xs", lambda s: s["_v"])
+    return got.select(*keys, "n", *extra, _fold(F.slice(xs, 2, SHORT), F.element_at(xs, 1)).alias(out))
+
+
+def _fold_long(df: DataFrame, keys: list[str], order: list[str], value: str,
+               out: str, extra_aggs: tuple[Column, ...]) -> DataFrame:
+    """Keys of any size, block by block."""
     v = F.col(value).cast("bigint")
     rows = _ranked(df, keys, order)
     ranked = materialize(rows.select("*", F.floor(F.col("_rank") / BLOCK).alias("_block")), "fold-ranked")

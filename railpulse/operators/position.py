@@ -69,21 +69,34 @@ def lookup_table(df: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.select("raw", "direct", F.coalesce("direct", "_fb").alias("resolved"))
 
 
-def _join_lookup(df: DataFrame, lk: DataFrame, key: Column, out: str, field: str = "resolved",
-                 guard: bool = True) -> DataFrame:
-    k = lk.select(F.col("raw").alias(f"_k_{out}"), F.col(field).alias(out))
-    j = df.join(k, key == F.col(f"_k_{out}"), "left").drop(f"_k_{out}")
-    if guard:
-        j = j.withColumn(out, F.when(_truthy(key), F.col(out)))
-    return j
+#: What a row asks of the name lookup: the resolved station of its parsed, platform and destination names.
+_ASKED = {"r1": "loc_station1", "r2": "loc_station2", "rp": "station_name", "rd": "destination",
+          "rv": "_sn_key"}
 
 
-def _on_line(df: DataFrame, ls: DataFrame, code_col: str, out: str) -> DataFrame:
-    s = ls.select(F.col("line_code").alias(f"_l_{out}"), F.col("code").alias(f"_c_{out}"),
-                  F.lit(True).alias(out))
-    j = df.join(s, (F.col("line_code") == F.col(f"_l_{out}"))
-                & (F.col(f"{code_col}.code") == F.col(f"_c_{out}")), "left")
-    return j.drop(f"_l_{out}", f"_c_{out}").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+def _resolve_rows(d: DataFrame, lk: DataFrame, ls: DataFrame | None) -> DataFrame:
+    """Add r1, r2, rp, rd, rv, to_st (stations) and on1, on2, onv (whether a station is on the row's line).
+
+    A row's names go to the lookup as rows of their own, so one join answers all of them and
+    one more all questions about lines; they come back as one row per ``_rid``.
+    """
+    asks = F.array(*[F.struct(F.lit(k).alias("role"), F.col(c).alias("raw")) for k, c in _ASKED.items()])
+    asked = d.select("_rid", "line_code", F.inline(asks)).where(F.col("raw").isNotNull()).join(lk, "raw")
+    if ls is None:
+        asked = asked.withColumn("on", F.lit(True))
+    else:
+        on = ls.select("line_code", F.col("code").alias("_code"), F.lit(True).alias("on"))
+        asked = asked.withColumn("_code", F.col("resolved.code")).join(on, ["line_code", "_code"], "left")
+    role = lambda r, c: F.max(F.when(F.col("role") == r, F.col(c)))
+    found = asked.groupBy("_rid").agg(
+        *[role(r, "resolved").alias(r) for r in _ASKED], role("rv", "direct").alias("to_st"),
+        *[role(r, "on").alias(o) for r, o in (("r1", "on1"), ("r2", "on2"), ("rv", "onv"))])
+    out = d.join(found, "_rid", "left").drop("_rid")
+    guards = {"r1": _truthy(F.col("loc_station1")), "r2": _truthy(F.col("loc_station2")),
+              "rp": F.col("_sn_ok"), "rd": F.col("_dn_ok"), "rv": F.col("_sn_ok")}
+    return out.withColumns({
+        **{r: F.when(g, F.col(r)) for r, g in guards.items()},
+        **{o: F.coalesce(F.col(o), F.lit(False)) | ~F.col("_has_line") for o in ("on1", "on2", "onv")}})
 
 
 # --------------------------------------------------------------------------- context
@@ -104,7 +117,10 @@ def position_context(df: DataFrame, stations: DataFrame, edges: DataFrame,
         "_has_line": _truthy(F.col("line_code")) if use_line else F.lit(False),
         "line_key": graph.line_key("line_code") if use_line else F.lit(graph.ANY_LINE),
         "secs": countdown_seconds("time_to_station"),
+        "_rid": F.monotonically_increasing_id(),
     })
+    # parsed once; read for the names and for the rows
+    d = materialize(d, "located")
     if direct_names:
         raw = d.select(F.explode(F.array("loc_station1", "loc_station2", "station_name",
                                          "destination")).alias("name")
@@ -115,26 +131,9 @@ def position_context(df: DataFrame, stations: DataFrame, edges: DataFrame,
     else:
         res = resolve_names(needed_names(d), stations, spark)
         lk = lookup_table(d, res)
-    # one row per distinct name string; joined six times below
-    lk = materialize(lk, "name-lookup")
-    d = _join_lookup(d, lk, F.col("loc_station1"), "r1")
-    d = _join_lookup(d, lk, F.col("loc_station2"), "r2")
-    d = _join_lookup(d, lk, F.col("station_name"), "rp")
-    d = _join_lookup(d, lk, F.col("destination"), "rd")
+    d = _resolve_rows(d, lk, graph.line_stations(edges) if use_line else None)
     if direct_names:
         d = d.withColumns({"rv": F.col("rp"), "to_st": F.col("rp")})
-    else:
-        d = _join_lookup(d, lk, F.col("_sn_key"), "rv", guard=False)
-        d = _join_lookup(d, lk, F.col("_sn_key"), "to_st", field="direct", guard=False)
-        d = d.withColumn("rv", F.when(F.col("_sn_ok"), F.col("rv")))
-    ls = graph.line_stations(edges)
-    if use_line:
-        for src, out in (("r1", "on1"), ("r2", "on2"), ("rv", "onv")):
-            d = _on_line(d, ls, src, out)
-        # a row without a line accepts every station
-        d = d.withColumns({x: F.col(x) | ~F.col("_has_line") for x in ("on1", "on2", "onv")})
-    else:
-        d = d.withColumns({"on1": F.lit(True), "on2": F.lit(True), "onv": F.lit(True)})
     knb = graph.keyed_neighbours(edges)
     fn = graph.first_neighbours(knb).withColumnRenamed("station_code", "_nb_st")
     d = d.join(fn.withColumnRenamed("line_key", "_nb_lk"),
@@ -156,7 +155,8 @@ def position_context(df: DataFrame, stations: DataFrame, edges: DataFrame,
     d = d.join(seg_any.select(F.col("a").alias("_t_a"), F.col("b").alias("_t_b"), "seg_any"),
                (F.col("_pa") == F.col("_t_a")) & (F.col("_pb") == F.col("_t_b")),
                "left").drop("_t_a", "_t_b", "_pa", "_pb")
-    return d
+    # read for the positions and for the next stations
+    return materialize(d, "position-context")
 
 
 # --------------------------------------------------------------------------- C5
