@@ -48,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from railpulse.llm.shingles import WORDS, mix, shingle_set
 from railpulse.session import materialize
@@ -331,7 +332,10 @@ def bitmap(ids: DataFrame, doc_id: str = "doc_id") -> np.ndarray:
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, sig (null: no words) and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, sig (null: no words), component_id and component of every row of ``docs`` (doc_id, text).
+
+    ``component`` names a component also where rows that share a doc_id lie in several (null: no words).
+    """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = materialize(_documents(docs, words), "shingled")
     classes = known.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"))
@@ -387,10 +391,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     large = large.union(merged.select("label", "top")).union(small.select("b", "a"))  # a class that only the second links reach names itself
     top = large.groupBy("sig").agg(F.min("top").alias("top"))
     top = materialize(sources.join(top, "sig", "left").select("sig", "first_id", F.coalesce("top", "sig").alias("top")), "tops")
-    joined = top.join(top.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("sig", "component_id")
-    of = classes.join(joined, "sig", "left").select("sig", F.coalesce("component_id", "first_id").alias("component_id"))
-    linked = known.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig").join(of, "sig").select("doc_id", "n_shingles", "sig", "component_id")
-    return linked.union(known.where("sig IS NULL").select("doc_id", "n_shingles", "sig", F.col("doc_id").alias("component_id")))
+    joined = top.join(top.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("sig", "component_id", "top")
+    of = classes.join(joined, "sig", "left").select("sig", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("top", "sig").alias("component"))
+    linked = known.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig").join(of, "sig").select("doc_id", "n_shingles", "sig", "component_id", "component")
+    return linked.union(known.where("sig IS NULL").select("doc_id", "n_shingles", "sig", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
@@ -408,29 +412,39 @@ def _sets(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each component: the smallest doc_id stays.
+    """The rows of ``docs`` without all but one row of each component: the smallest doc_id stays (none comes last).
+
+    A row is known by its doc_id and its set of shingles: rows that share a doc_id but not a
+    text are decided apart, rows without a doc_id like any others.  Of rows that are
+    equal in both, one stays.  Rows without words all stay.
 
     Most documents have no copy.  The ids that have one set flags in a table of fixed
     size; rows whose flag is unset stay where they are, and only the others meet the
-    components in a join.  Rows without a doc_id, or without words, all stay.  A
-    doc_id names a document: of rows that share one and have copies, one stays.
+    components in a join.
     """
-    found = materialize(near_copies(docs, words, percent).where("sig IS NOT NULL AND doc_id IS NOT NULL"), "components")
-    many = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    grouped = materialize(found.join(many, "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "grouped")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(grouped)))
+    found = materialize(near_copies(docs, words, percent).where("sig IS NOT NULL"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
+    many = found.groupBy("component").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    grouped = found.join(many, "component").groupBy("doc_id", "sig", "component").agg(F.bool_or(order == F.col("first")).alias("stays"))
+    grouped = materialize(grouped, "grouped")
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(grouped.where("doc_id IS NOT NULL"))))
 
     def flag(batches):
         flags = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flags[batch.columns[-1].to_numpy()])], names=[*batch.schema.names[:-1], "_maybe"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.withColumn("_bit", _bit()).mapInArrow(flag, f"{kinds}, _maybe boolean")
-    alone = marked.where("NOT _maybe").drop("_maybe")
-    maybe = marked.where("_maybe").drop("_maybe")
-    named = maybe.join(grouped.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    kept = named.where("_id IS NULL OR doc_id = component_id")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    once = kept.where("_id IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return alone.unionByName(kept.where("_id IS NULL").select(*docs.columns)).unionByName(once.select(*docs.columns))
+            row, bits, texts = batch.columns
+            maybe = [b is None or bool(flags[b]) for b in bits.to_pylist()]
+            sets = [shingle_set(t.as_py() or "", words) if m else () for m, t in zip(maybe, texts)]
+            sigs = [signature(x) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([row, pa.array(sigs, pa.int64())], names=["row", "sig"])
+
+    bit = F.when(F.col("doc_id").isNotNull(), _bit())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), bit.alias("bit"), F.col("text").cast("string").alias("text"))
+    marked = whole.mapInArrow(flag, T.StructType([T.StructField("row", docs.schema), T.StructField("sig", T.LongType())]))
+    alone = marked.where("sig IS NULL").select("row")
+    known = grouped.select(F.col("doc_id").alias("id"), F.col("sig").alias("own"), "component", "stays")
+    named = marked.where("sig IS NOT NULL").join(known, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("own")), "left")
+    free = named.where("component IS NULL").select("row")
+    first = Window.partitionBy("component").orderBy(F.xxhash64("row"))
+    once = named.where("stays").withColumn("n", F.row_number().over(first)).where("n = 1").select("row")
+    return alone.unionByName(free).unionByName(once).select("row.*")

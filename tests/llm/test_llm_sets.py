@@ -86,6 +86,31 @@ def test_components_match_brute_force(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in want if want[i] == i)
 
 
+def test_one_of_each_by_id_and_text(spark):
+    """Ids that several texts share, none at all, and equal rows: every component keeps one row, no text is lost."""
+    rng = random.Random(9)
+    texts = families(rng, 25)
+    rows = [(rng.choice([None, *range(40)]), t) for t in texts]
+    rows += [(1, "a b c d e"), (2, "a b c d e"), (2, "f g h i j"), (3, "f g h i j"), (None, "n o p"), (None, "n o p"), (4, None), (4, ""), (None, None)] + rows[:5]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _own string").repartition(3)
+    kept = trie_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    sets = {k: shingles(t) for k, (_, t) in enumerate(rows)}
+    component = brute_components(sets)
+    members = {}
+    for k, c in component.items():
+        members.setdefault(c if sets[k] else ("empty", k), []).append(rows[k])
+    assert len(got) == len(members)
+    rest = list(got)
+    for own in members.values():
+        smallest = min((i is None, i or 0) for i, _ in own)
+        match = next(r for r in rest if r in own)
+        assert (match[0] is None, match[0] or 0) == smallest
+        rest.remove(match)
+    assert rest == [] and {(1, "a b c d e"), (2, "f g h i j")} <= set(got) and got.count((None, "n o p")) == 1
+
+
 def test_join_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert trie_join.near_copies(empty).count() == 0
