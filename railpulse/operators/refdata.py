@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from railpulse.functions.constants import (DEFAULT_TRAVEL_TIME_SECONDS, MAX_CODE_LEN,
-                                           MAX_NAME_LEN, STATION_LINE_CODE_MAP)
+from railpulse.functions.constants import (ADJACENCY_LINE_CODE_MAP, DEFAULT_TRAVEL_TIME_SECONDS,
+                                           MAX_CODE_LEN, MAX_NAME_LEN, STATION_LINE_CODE_MAP)
 from railpulse.functions.text import js_trim
 from railpulse.operators.fold import halving_fold
+from railpulse.session import materialize
 
 
 def _map(pairs) -> Column:
@@ -145,6 +146,20 @@ def build_edges(stops: DataFrame, line_map: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("travel_time_seconds"))
 
 
+def adjacency_lines(spark: SparkSession, pairs=ADJACENCY_LINE_CODE_MAP) -> DataFrame:
+    """Line ids of the edge build with their codes, in processing order; ``circle`` belongs to H."""
+    return spark.createDataFrame([(i, c, k) for k, (i, c) in enumerate(pairs, 1)],
+                                 "line_id string, line_code string, line_rank int")
+
+
+def with_geometry(edges: DataFrame) -> DataFrame:
+    """edges with ``segment_geometry``, a LINESTRING in text form (longitude first), null without all four coordinates."""
+    corner = lambda e: F.concat_ws(" ", F.col(f"{e}_lng").cast("string"), F.col(f"{e}_lat").cast("string"))
+    there = [_truthy_num(F.col(f"{e}_{c}")) for e in ("from", "to") for c in ("lng", "lat")]
+    text = F.concat(F.lit("LINESTRING("), corner("from"), F.lit(", "), corner("to"), F.lit(")"))
+    return edges.withColumn("segment_geometry", F.when(there[0] & there[1] & there[2] & there[3], text))
+
+
 def terminals(edges: DataFrame, stations: DataFrame) -> DataFrame:
     """Distinct (line, station code, name) starting a route branch."""
     t = edges.filter(F.col("sequence_order") == 0).select("line_code", "from_code")
@@ -219,6 +234,25 @@ def apply_times(edges: DataFrame, times: DataFrame) -> DataFrame:
         F.col("_tt").isNotNull().alias("timed"))
 
 
+def apply_times_counted(edges: DataFrame, times: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``apply_times``, stored, and what the writing pass counted on its way.
+
+    ``updated``: rows affected by the updates, one update for each timed direction of a pair, so
+    an edge whose pair is timed both ways counts twice; ``defaulted``: rows that got the
+    default; ``edges``: all rows.
+    """
+    both = _pair_key(times, "from_code", "to_code").groupBy("line_code", "pa", "pb").agg(
+        F.count(F.lit(1)).alias("_updates"))
+    applied = _pair_key(apply_times(edges, times), "from_code", "to_code").join(
+        both, ["line_code", "pa", "pb"], "left")
+    seen = Observation()
+    applied = applied.observe(
+        seen, F.coalesce(F.sum("_updates"), F.lit(0)).alias("updated"),
+        F.count_if(~F.col("timed")).alias("defaulted"), F.count(F.lit(1)).alias("edges"))
+    stored = materialize(applied.drop("pa", "pb", "_updates"), "applied-times")
+    return stored, seen.get
+
+
 def unmatched_times(edges: DataFrame, times: DataFrame) -> DataFrame:
     """Timed pairs with no edge in either direction on their line."""
     e = _pair_key(edges, "from_code", "to_code").select("line_code", "pa", "pb").distinct()

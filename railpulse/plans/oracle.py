@@ -776,3 +776,25 @@ ORACLE["q_eta_reconcile"] = with_ctes(["merged"], """
 SELECT set_number, line_code, ts AS last_seen, i AS n_obs, from_lat, from_lng, to_lat, to_lng, eta_s,
        data_ts_ms, pred_lat, pred_lng, pred_tt, station_name, reanchors
 FROM (SELECT *, max(i) OVER (PARTITION BY set_number, line_code) AS n FROM merged) WHERE i = n""", _SNAPSHOTS).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# ---------------------------------------------------------------- O1, A12, F19, S16
+ORACLE["q_ordered_stations"] = with_ctes(["stations"], """
+SELECT row_number() OVER (ORDER BY name, code) AS rank, code, name FROM stations""")
+ORACLE["q_ordered_lines"] = with_ctes(["edges_raw"], """
+SELECT row_number() OVER (ORDER BY line_code, sequence_order, from_code, to_code) AS rank, line_code, sequence_order,
+       from_code, to_code FROM edges_raw""", EXTRA)
+ORACLE["q_apply_counts"] = with_ctes(["edges_raw", "seg_times", "edges_applied"], """
+SELECT (SELECT count(*) FROM seg_times t JOIN edges_raw e ON e.line_code = t.line_code
+          AND ((t.from_code = e.from_code AND t.to_code = e.to_code) OR (t.from_code = e.to_code AND t.to_code = e.from_code))) AS updated,
+       count(*) FILTER (WHERE NOT timed) AS defaulted, count(*) AS edges
+FROM edges_applied""", EXTRA)
+ORACLE["q_edge_geometry"] = with_ctes(["edges_raw"], """
+SELECT line_code, from_code, to_code,
+       'LINESTRING(' || CAST(from_lng AS DOUBLE) || ' ' || CAST(from_lat AS DOUBLE) || ', ' || CAST(to_lng AS DOUBLE) || ' ' || CAST(to_lat AS DOUBLE) || ')' AS segment_geometry
+FROM edges_raw""", EXTRA)
+ORACLE["q_line_geojson"] = with_ctes(["line_variants", "edges_raw"], """
+SELECT '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[' || CAST(from_lng AS DOUBLE) || ',' || CAST(from_lat AS DOUBLE)
+    || '],[' || CAST(to_lng AS DOUBLE) || ',' || CAST(to_lat AS DOUBLE) || ']]},"properties":{"code":"' || v.code || '","name":"' || v.name || '","color":"' || v.color
+    || '","line_offset":' || v.line_offset || ',"from_code":"' || e.from_code || '","to_code":"' || e.to_code || '"}}' AS feature
+FROM line_variants v JOIN edges_raw e ON e.line_code = v.code""", EXTRA)

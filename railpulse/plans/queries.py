@@ -372,3 +372,40 @@ def q_fold_hot(spark, sf_dir):
     order = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "seconds"]
     rows = fx.table(spark, sf_dir, "lineitem").withColumn("seconds", seconds)
     return fold.halving_fold(rows.select("l_linenumber", *order), ["l_linenumber"], order, "seconds")
+
+
+# --------------------------------------------------------------------------- O1, A12, F19, S16
+from railpulse.operators import ordering  # noqa: E402
+
+
+@query("q_ordered_stations")
+def q_ordered_stations(spark, sf_dir):
+    """Stations by name with their rank (ties by code)."""
+    return ordering.ranked(fx.stations(spark, sf_dir), "name", "code").select("rank", "code", "name")
+
+
+@query("q_ordered_lines")
+def q_ordered_lines(spark, sf_dir):
+    """Segments by line and place in it with their rank over all lines."""
+    return ordering.ranked(_edges(spark, sf_dir, timed=False), "line_code", "sequence_order", "from_code", "to_code").select(
+        "rank", "line_code", "sequence_order", "from_code", "to_code")
+
+
+@query("q_apply_counts")
+def q_apply_counts(spark, sf_dir):
+    """Rows that the import of travel times updated and defaulted, counted while they are written."""
+    _, counts = refdata.apply_times_counted(_edges(spark, sf_dir, timed=False), _times(spark, sf_dir))
+    return spark.createDataFrame([(counts["updated"], counts["defaulted"], counts["edges"])],
+                                 "updated bigint, defaulted bigint, edges bigint")
+
+
+@query("q_edge_geometry")
+def q_edge_geometry(spark, sf_dir):
+    return refdata.with_geometry(_edges(spark, sf_dir, timed=False)).select("line_code", "from_code", "to_code", "segment_geometry")
+
+
+@query("q_line_geojson")
+def q_line_geojson(spark, sf_dir):
+    """One GeoJSON LineString for each segment of each line feature."""
+    segments = features.line_segments(_lines(spark, sf_dir), _edges(spark, sf_dir, timed=False), spark)
+    return features.segments_to_geojson(segments.where("from_code IS NOT NULL"))

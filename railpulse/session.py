@@ -5,9 +5,16 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+#: The folder of the job that is running (``scratch_job``), if any.
+_JOB: ContextVar[str | None] = ContextVar("scratch_job", default=None)
+
 # Settings every job relies on.  Cluster deployments pass their own
 # shuffle-partition count and memory; these only fill what is unset.
 _DEFAULTS = {
@@ -62,7 +69,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="railpulse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    own = spark.sparkContext.getCheckpointDir()
+    if not own or os.path.dirname(own.rstrip("/")).rpartition(":")[2] != path.rstrip("/").rpartition(":")[2]:
+        spark.sparkContext.setCheckpointDir(path)  # makes a folder in it at every call
     return path
 
 
@@ -71,6 +80,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_job(spark: SparkSession, name: str = "job") -> Iterator[str]:
+    """All that ``materialize`` writes inside goes to one folder, deleted at the end.
+
+    For jobs that write their result before they end, such as a micro-batch: a DataFrame that
+    reads an intermediate table must not outlive the job.  Jobs may nest.
+    """
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    token = _JOB.set(path)
+    try:
+        yield path
+    finally:
+        _JOB.reset(token)
+        delete_folder(spark, path)
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -78,11 +109,10 @@ def materialize(df, name: str):
     resolved-name lookup): the plan below becomes a plain scan with real
     size statistics (AQE sizes its broadcast decisions on them), and a lost
     executor re-reads files instead of recomputing the lineage.  Each call
-    writes a fresh folder; nothing is deleted.
+    writes a fresh folder; it stays for as long as the DataFrame may be read, or until the
+    ``scratch_job`` around it ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_JOB.get() or checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -8,12 +8,14 @@ offsets, and its folders are named after the query and the batch: a batch that i
 again after a failure ends as if it had been run once.
 
 ``start_positions``: the stream-static join to dimensions (T10).  Each
-micro-batch is joined to dimension tables read inside the batch function, so
-a rebuilt dimension is picked up by the next batch without a restart.
+micro-batch is joined to dimension tables loaded inside the batch function, so
+a rebuilt dimension is picked up by the next batch without a restart, and one that
+hasn't changed is not built again (``streaming.dimensions``).
 """
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from railpulse.operators.flatten import flatten_predictions
+from railpulse.session import scratch_job
 from railpulse.sinks.fact_table import FactTable, as_fact
 
 DEFAULT_TRIGGER = {"processingTime": "10 seconds"}
@@ -50,13 +53,17 @@ def start_positions(rows: DataFrame, load_dims: Callable[[], tuple[DataFrame, Da
                     job: Callable[[DataFrame, DataFrame, DataFrame], DataFrame],
                     sink_path: str, checkpoint: str, trigger: dict | None = None
                     ) -> StreamingQuery:
-    """Per micro-batch, ``job(batch, stations, edges)`` with freshly read dims."""
-    import os
+    """Per micro-batch, ``job(batch, stations, edges)`` with the dimensions as they are then.
+
+    ``load_dims``: see ``dimensions.Dimensions``.  What the job stores on its way is deleted
+    when the batch has been written.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stations, edges = load_dims()
-        out = job(batch, stations, edges)
-        out.write.mode("overwrite").parquet(os.path.join(sink_path, f"batch_id={batch_id}"))
+        with scratch_job(rows.sparkSession, "positions"):
+            stations, edges = load_dims()
+            out = job(batch, stations, edges)
+            out.write.mode("overwrite").parquet(os.path.join(sink_path, f"batch_id={batch_id}"))
 
     return (rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or DEFAULT_TRIGGER)).start())

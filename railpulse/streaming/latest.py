@@ -25,7 +25,7 @@ from railpulse.functions.constants import LATEST_WINDOW
 from railpulse.functions.text import countdown_rank
 from railpulse.operators.latest import VIEW_COLUMNS, order_columns
 from railpulse.schemas import TRAIN_POSITIONS
-from railpulse.session import materialize
+from railpulse.session import materialize, scratch_job
 from railpulse.sinks.keyed_table import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -99,9 +99,10 @@ def start_latest(rows: DataFrame, view_path: str, checkpoint: str, window: str =
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         # a train may leave and come back in one batch: what it has now counts
-        last = materialize(batch, "latest-changes").groupBy(*KEYS).agg(F.max_by(F.struct(*batch.columns), F.struct(~F.col("removed"), "timestamp")).alias("r"))
-        changes = last.select("r.*").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-        table.upsert(changes, removed="removed")
+        with scratch_job(spark, "latest"):
+            last = materialize(batch, "changes").groupBy(*KEYS).agg(F.max_by(F.struct(*batch.columns), F.struct(~F.col("removed"), "timestamp")).alias("r"))
+            changes = last.select("r.*").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+            table.upsert(changes, removed="removed")
 
     return (latest_stream(rows, window).writeStream.foreachBatch(merge).outputMode("update")
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start())
