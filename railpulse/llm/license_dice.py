@@ -91,8 +91,9 @@ def _windows(licensed: DataFrame, listed: DataFrame, threshold: float) -> DataFr
     words = materialize(words.where(F.size("words") > 1).select("row", grams.alias("grams"), F.col("words")["line"].alias("at")), "licensed_words")
     # the places of a template's bigrams, and those from which enough of them stand within reach
     listed = listed.drop("license", "tb", "low", "high"), listed.select("t", F.explode("tb").alias("gram")), listed.select("t", "license")
-    hits = words.select("row", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(listed[1]), "gram").groupBy("row", "t").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
-    hits = hits.join(F.broadcast(listed[0]), "t").where(F.size("hits") >= F.col("need"))
+    hits = words.select("row", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(listed[1]), "gram").groupBy("row", "t").agg(F.sort_array(F.collect_list("pos")).alias("hits"), F.size(F.collect_set("gram")).alias("kinds"))
+    # a window shares different bigrams: however often a short text repeats, it holds no more of a long template
+    hits = hits.join(F.broadcast(listed[0]), "t").where(F.col("kinds") >= F.col("need")).drop("kinds")
     begins = F.transform("hits", lambda p, k: F.when(((k == 0) | (F.get("hits", k - 1) < p - 1)) & (F.get("hits", k + F.col("need") - 1) - p < F.col("reach")), F.struct(k.alias("k"), p.alias("p"))))
     hits = hits.withColumn("begins", F.filter(begins, lambda x: x.isNotNull())).where(F.size("begins") > 0)
     # for every place the one before with the same bigram, so that a window counts each bigram once

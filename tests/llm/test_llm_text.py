@@ -224,6 +224,18 @@ def test_license_scan_matches_brute_force(spark):
     assert license_dice.scan(docs.where("false")).count() == 0
 
 
+def test_a_licence_many_times_over_takes_no_longer_than_its_length(spark):
+    import time
+
+    mit, took = license_dice.TEMPLATES["MIT"], []
+    for n in (2, 2, 60):
+        began = time.perf_counter()
+        found = license_dice.scan(spark.createDataFrame([(1, "\n".join([mit] * n))], "doc_id long, text string")).collect()
+        took.append(time.perf_counter() - began)
+        assert [(r["line"], r["license"], r["dice"]) for r in sorted(found, key=lambda r: r["line"])][1:] == [(k, "MIT", 1.0) for k in range(1, n + 1)]
+    assert took[2] < 5 * took[1] + 20
+
+
 def test_license_windows_within_longer_texts(spark):
     mit, bsd = license_dice.TEMPLATES["MIT"], license_dice.TEMPLATES["BSD-2-Clause"]
     wrap = lambda text, mark, k=9: "\n".join(mark + " ".join(text.split()[i:i + k]) for i in range(0, len(text.split()), k))
