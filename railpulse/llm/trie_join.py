@@ -444,7 +444,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     alone = marked.where("sig IS NULL").select("row")
     known = grouped.select(F.col("doc_id").alias("id"), F.col("sig").alias("own"), "component", "stays")
     named = marked.where("sig IS NOT NULL").join(known, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("own")), "left")
-    free = named.where("component IS NULL").select("row")
-    first = Window.partitionBy("component").orderBy(F.xxhash64("row"))
-    once = named.where("stays").withColumn("n", F.row_number().over(first)).where("n = 1").select("row")
-    return alone.unionByName(free).unionByName(once).select("row.*")
+    kept = named.where("component IS NULL OR stays").withColumn("free", F.when(F.col("component").isNull(), F.monotonically_increasing_id()))
+    first = Window.partitionBy("component", "free").orderBy(F.xxhash64("row"))
+    once = kept.withColumn("n", F.row_number().over(first)).where("n = 1").select("row")
+    return alone.unionByName(once).select("row.*")
