@@ -112,7 +112,8 @@ def build_edges(stops: DataFrame, line_map: DataFrame) -> DataFrame:
     """Route stops -> deduplicated edges.
 
     ``stops``: line_id, seq_no, pos, stationId, id, lat, lon (one row per
-    stop of a sequence; lines whose route list is empty have no rows).
+    stop of a sequence; lines whose route list is empty have no rows), and
+    line_code if they have it.
     ``line_map``: line_id, line_code, line_rank (processing order of ids).
 
     1. stop code = first non-empty of stationId, id; code-less stops skipped
@@ -123,9 +124,12 @@ def build_edges(stops: DataFrame, line_map: DataFrame) -> DataFrame:
     """
     code = F.coalesce(F.when(F.col("stationId") != "", F.col("stationId")),
                       F.when(F.col("id") != "", F.col("id")))
-    s = stops.select("line_id", "seq_no", "pos", code.alias("code"), "lat", "lon"
+    # stops that carry their line's code, which the id implies, are often dealt by it and the
+    # sequence already; named here, that dealing serves the window, too
+    seq = [*(["line_code"] if "line_code" in stops.columns else []), "line_id", "seq_no"]
+    s = stops.select(*seq, "pos", code.alias("code"), "lat", "lon"
                      ).filter(F.col("code").isNotNull())
-    w = Window.partitionBy("line_id", "seq_no").orderBy("pos")
+    w = Window.partitionBy(*seq).orderBy("pos")
     s = s.select(
         "line_id", "seq_no", (F.row_number().over(w) - 1).alias("i"),
         F.col("code").alias("from_code"), F.col("lat").alias("from_lat"),
