@@ -5,13 +5,13 @@
   station in question is the "from" side; travel time defaults to 120 s.
   The reference takes neighbours in storage order; here that order is made
   explicit as ``ord = (sequence_order, line_code, from_code, to_code)``.
-  A row without a line code sees the neighbours of all lines.
+  A row without a line code sees the neighbours of all lines (``ANY_LINE``).
 * ``first_neighbours``: per (line_key, station) the first neighbour and the
   first neighbour with a different code (enough to answer "first neighbour
   that is not station P" for any P without joining rows to all neighbours).
-* ``segment_lookup`` (J3): the first edge joining an unordered pair, per
-  line and across lines, keyed by ``least/greatest`` (an OR join condition
-  would become a nested loop).
+* ``pair_facts`` (J3): per unordered pair (``least/greatest``; an OR join condition
+  would become a nested loop) the first edge and the neighbour entries at both
+  ends, per line and across lines, from one pass over the edges.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import DEFAULT_TRAVEL_TIME_SECONDS
+from railpulse.session import materialize
 
 ANY_LINE = "<any line>"
+#: Stands for the line of an edge without one, whose neighbours only the all-lines view shows.
+NO_LINE = "<no line>"
 
 
 def line_key(line_code) -> Column:
@@ -56,42 +59,57 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return fwd.unionByName(back)
 
 
-def keyed_neighbours(edges: DataFrame) -> DataFrame:
-    """Neighbours per line plus the all-lines view under ``line_key = ANY_LINE``."""
-    nb = neighbours(edges)
-    per_line = nb.withColumn("line_key", F.col("line_code"))
-    any_line = nb.withColumn("line_key", F.lit(ANY_LINE))
-    return per_line.unionByName(any_line)
-
-
 def _nb_struct(prefix: str = "") -> Column:
     return F.struct(F.col("ord"), F.col("nb_code").alias("code"), F.col("nb_lat").alias("lat"),
                     F.col("nb_lng").alias("lng"), F.col("travel_time").alias("tt"))
 
 
-def first_neighbours(knb: DataFrame) -> DataFrame:
-    """line_key, station_code, nb1 (first), nb2 (first whose code differs from nb1)."""
-    first = knb.groupBy("line_key", "station_code").agg(F.min(_nb_struct()).alias("nb1"))
-    second = (knb.join(first, ["line_key", "station_code"])
-              .filter(F.col("nb_code") != F.col("nb1.code"))
-              .groupBy("line_key", "station_code").agg(F.min(_nb_struct()).alias("nb2")))
-    return first.join(second, ["line_key", "station_code"], "left")
-
-
-def neighbour_by_code(knb: DataFrame) -> DataFrame:
-    """First neighbour entry per (line_key, station_code, nb_code)."""
-    return knb.groupBy("line_key", "station_code", "nb_code").agg(F.min(_nb_struct()).alias("nbx"))
-
-
-def segment_lookup(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per-line, any-line) first edge per unordered pair: key a<=b, travel time."""
+def first_neighbours(nb: DataFrame) -> DataFrame:
+    """line_key, station_code, nb1 (first), nb2 (first whose code differs from nb1).
+
+    The all-lines view (``ANY_LINE``) is taken from the lines' own first two: a line's first
+    neighbour that is not ``c`` is its nb1, or its nb2 where nb1 is ``c``.
+    """
+    key = ["line_key", "station_code"]
+    nb = nb.withColumn("line_key", F.coalesce("line_code", F.lit(NO_LINE)))
+    first = nb.groupBy(*key).agg(F.min(_nb_struct()).alias("nb1"))
+    second = (nb.join(first, key).filter(F.col("nb_code") != F.col("nb1.code"))
+              .groupBy(*key).agg(F.min(_nb_struct()).alias("nb2")))
+    # few rows; read for the lines and twice for all lines
+    per_line = materialize(first.join(second, key, "left"), "first-neighbours")
+    first = per_line.groupBy("station_code").agg(F.min("nb1").alias("_nb1"))
+    other = F.when(F.col("nb1.code") != F.col("_nb1.code"), F.col("nb1")).otherwise(F.col("nb2"))
+    any_line = (per_line.join(first, "station_code").groupBy("station_code")
+                .agg(F.min("_nb1").alias("nb1"), F.min(other).alias("nb2")))
+    return per_line.where(F.col("line_key") != NO_LINE).unionByName(
+        any_line.withColumn("line_key", F.lit(ANY_LINE)))
+
+
+def pair_facts(edges: DataFrame) -> DataFrame:
+    """What is known of each unordered pair a <= b of stations, one row per pair.
+
+    ``lines`` maps a line to its facts, ``any`` holds those of all lines: ``seg``, the first edge
+    that joins the two, and ``at_a`` and ``at_b``, the first neighbour entry of a for b and of b
+    for a.
+    """
+    tt = F.coalesce(F.col("travel_time_seconds"), F.lit(DEFAULT_TRAVEL_TIME_SECONDS))
+    fwd = F.col("from_code") <= F.col("to_code")
+    end = lambda e: F.struct(_edge_ord().alias("ord"), F.col(f"{e}_code").alias("code"),
+                             F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lng").alias("lng"), tt.alias("tt"))
+    # of a self loop only the "to" end is a neighbour
     e = edges.select(
-        "line_code", F.least("from_code", "to_code").alias("a"),
-        F.greatest("from_code", "to_code").alias("b"),
-        F.struct(_edge_ord().alias("ord"), F.col("travel_time_seconds").alias("tt")).alias("e"))
-    per_line = e.groupBy("line_code", "a", "b").agg(F.min("e").alias("seg"))
-    any_line = e.groupBy("a", "b").agg(F.min("e").alias("seg_any"))
-    return per_line, any_line
+        "line_code", F.least("from_code", "to_code").alias("a"), F.greatest("from_code", "to_code").alias("b"),
+        F.struct(_edge_ord().alias("ord"), F.col("travel_time_seconds").alias("tt")).alias("seg"),
+        F.when(fwd, end("to")).otherwise(end("from")).alias("at_a"),
+        F.when(fwd & (F.col("from_code") != F.col("to_code")), end("from")).otherwise(end("to")).alias("at_b"))
+    e = e.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    names = ["seg", "at_a", "at_b"]
+    per_line = e.groupBy("a", "b", "line_code").agg(*[F.min(c).alias(c) for c in names])
+    facts = F.struct(*names)
+    return per_line.groupBy("a", "b").agg(
+        F.map_from_entries(F.collect_list(F.when(
+            F.col("line_code").isNotNull(), F.struct("line_code", facts)))).alias("lines"),
+        F.struct(*[F.min(c).alias(c) for c in names]).alias("any"))
 
 
 def neighbour_table(edges: DataFrame) -> DataFrame:

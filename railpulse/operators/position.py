@@ -3,8 +3,8 @@ next-station prediction (C9) and coverage diagnosis (C13).
 
 Plan shape: names are resolved once per *distinct* string (C3); every row
 then does a fixed number of equi-joins against small derived tables (the
-resolved-name lookup, the line-station set, first-neighbour pairs, per-pair
-segment times and per-(station, destination) next-station argmins).  Rows
+resolved-name lookup, the line-station set, first neighbours per station,
+facts per pair of stations and per-(station, destination) next-station argmins).  Rows
 are never joined to whole neighbour lists, so the row count never grows.
 Join strategy is left to Catalyst/AQE, which broadcasts a side only when its
 measured size is under the broadcast threshold.
@@ -134,27 +134,27 @@ def position_context(df: DataFrame, stations: DataFrame, edges: DataFrame,
     d = _resolve_rows(d, lk, graph.line_stations(edges) if use_line else None)
     if direct_names:
         d = d.withColumns({"rv": F.col("rp"), "to_st": F.col("rp")})
-    knb = graph.keyed_neighbours(edges)
-    fn = graph.first_neighbours(knb).withColumnRenamed("station_code", "_nb_st")
+    fn = graph.first_neighbours(graph.neighbours(edges)).withColumnRenamed("station_code", "_nb_st")
     d = d.join(fn.withColumnRenamed("line_key", "_nb_lk"),
                (F.col("line_key") == F.col("_nb_lk")) & (F.col("r1.code") == F.col("_nb_st")),
                "left").drop("_nb_lk", "_nb_st")
-    nbx = graph.neighbour_by_code(knb)
-    d = d.join(nbx.select(F.col("line_key").alias("_x_lk"), F.col("station_code").alias("_x_st"),
-                          F.col("nb_code").alias("_x_nb"), "nbx"),
-               (F.col("line_key") == F.col("_x_lk")) & (F.col("r1.code") == F.col("_x_st"))
-               & (F.col("rp.code") == F.col("_x_nb")), "left").drop("_x_lk", "_x_st", "_x_nb")
-    seg_line, seg_any = graph.segment_lookup(edges)
-    pa = F.least(F.col("r1.code"), F.col("r2.code"))
-    pb = F.greatest(F.col("r1.code"), F.col("r2.code"))
-    d = d.withColumns({"_pa": pa, "_pb": pb})
-    d = d.join(seg_line.select(F.col("line_code").alias("_s_l"), F.col("a").alias("_s_a"),
-                               F.col("b").alias("_s_b"), "seg"),
-               (F.col("line_code") == F.col("_s_l")) & (F.col("_pa") == F.col("_s_a"))
-               & (F.col("_pb") == F.col("_s_b")), "left").drop("_s_l", "_s_a", "_s_b")
-    d = d.join(seg_any.select(F.col("a").alias("_t_a"), F.col("b").alias("_t_b"), "seg_any"),
-               (F.col("_pa") == F.col("_t_a")) & (F.col("_pb") == F.col("_t_b")),
-               "left").drop("_t_a", "_t_b", "_pa", "_pb")
+    # a row asks about one pair: "left" about the platform station, all others about their second one
+    other = F.when(F.col("loc_type") == "left", F.col("rp.code")).otherwise(F.col("r2.code"))
+    d = d.withColumn("_other", F.when(F.col("r1.code").isNotNull(), other))
+    d = d.withColumns({"_pa": F.when(F.col("_other").isNotNull(), F.least("r1.code", "_other")),
+                       "_pb": F.when(F.col("_other").isNotNull(), F.greatest("r1.code", "_other"))})
+    facts = graph.pair_facts(edges).toDF("_fa", "_fb", "_lines", "_any")
+    d = d.join(facts, (F.col("_pa") == F.col("_fa")) & (F.col("_pb") == F.col("_fb")), "left")
+    of_line = F.try_element_at("_lines", F.col("line_code"))
+    of_key = F.when(F.col("line_key") == graph.ANY_LINE, F.col("_any")).otherwise(
+        F.try_element_at("_lines", F.col("line_key")))
+    d = d.withColumns({"_of_line": of_line, "_of_key": of_key})
+    d = d.withColumns({
+        "nbx": F.when(F.col("loc_type") == "left", F.when(F.col("r1.code") == F.col("_pa"), F.col("_of_key.at_a"))
+                      .otherwise(F.col("_of_key.at_b"))),
+        "seg": F.when(F.col("loc_type") != "left", F.col("_of_line.seg")),
+        "seg_any": F.when(F.col("loc_type") != "left", F.col("_any.seg"))})
+    d = d.drop("_fa", "_fb", "_lines", "_any", "_other", "_pa", "_pb", "_of_line", "_of_key")
     # read for the positions and for the next stations
     return materialize(d, "position-context")
 
@@ -272,9 +272,13 @@ def next_station_table(d: DataFrame, edges: DataFrame) -> DataFrame:
     trip = (d.filter(F.col("_want_next"))
             .select("line_key", F.col("rp.code").alias("cur"), F.col("rd.code").alias("dst"),
                     F.col("rd.lat").alias("dlat"), F.col("rd.lng").alias("dlng")).distinct())
-    knb = graph.keyed_neighbours(edges)
-    j = trip.join(knb.select("line_key", F.col("station_code").alias("cur"), "nb_code",
-                             "nb_lat", "nb_lng", "travel_time", "ord"), ["line_key", "cur"])
+    # a trip without a line looks at the neighbours of every line
+    nb = graph.neighbours(edges).withColumn("line_code", F.coalesce("line_code", F.lit(graph.NO_LINE)))
+    every = nb.select("line_code").distinct().agg(F.collect_list("line_code").alias("_all"))
+    trip = trip.crossJoin(F.broadcast(every)).withColumn("line_code", F.explode(
+        F.when(F.col("line_key") == graph.ANY_LINE, F.col("_all")).otherwise(F.array("line_key"))))
+    j = trip.drop("_all").join(nb.select("line_code", F.col("station_code").alias("cur"), "nb_lat", "nb_lng",
+                                         "travel_time", "ord"), ["line_code", "cur"])
     dist = ((F.col("nb_lat") - F.col("dlat")) * (F.col("nb_lat") - F.col("dlat"))
             + (F.col("nb_lng") - F.col("dlng")) * (F.col("nb_lng") - F.col("dlng")))
     return j.groupBy("line_key", "cur", "dst").agg(F.min(F.struct(
