@@ -108,7 +108,7 @@ def station_quality(candidates: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- C19
-def build_edges(stops: DataFrame, line_map: DataFrame) -> DataFrame:
+def build_edges(stops: DataFrame, line_map: DataFrame, paired: bool = False) -> DataFrame:
     """Route stops -> deduplicated edges.
 
     ``stops``: line_id, seq_no, pos, stationId, id, lat, lon (one row per
@@ -121,6 +121,9 @@ def build_edges(stops: DataFrame, line_map: DataFrame) -> DataFrame:
     3. first occurrence of each unordered pair per line id (by seq, i)
     4. first occurrence of each directed pair per line code (by line order)
     5. pairs with a missing/zero coordinate are dropped (after the dedup)
+
+    ``paired`` keeps the unordered pair as ``pa`` and ``pb``, by which and the line the edges
+    are dealt, so that a join on them needs no other dealing.
     """
     code = F.coalesce(F.when(F.col("stationId") != "", F.col("stationId")),
                       F.when(F.col("id") != "", F.col("id")))
@@ -140,14 +143,17 @@ def build_edges(stops: DataFrame, line_map: DataFrame) -> DataFrame:
         "pa": F.least("from_code", "to_code"), "pb": F.greatest("from_code", "to_code")})
     per_id = first_per_key(pairs, ["line_id", "pa", "pb"], ["seq_no", "i"])
     per_id = per_id.join(line_map.select("line_id", "line_code", "line_rank"), "line_id")
-    per_code = first_per_key(per_id.drop("pa", "pb"), ["line_code", "from_code", "to_code"],
-                             ["line_rank", "seq_no", "i"])
+    if paired:
+        per_id = per_id.repartition("line_code", "pa", "pb")
+    pair = ["pa", "pb"] if paired else []
+    per_code = first_per_key(per_id if paired else per_id.drop("pa", "pb"),
+                             ["line_code", *pair, "from_code", "to_code"], ["line_rank", "seq_no", "i"])
     geo = (_truthy_num(F.col("from_lat")) & _truthy_num(F.col("from_lng"))
            & _truthy_num(F.col("to_lat")) & _truthy_num(F.col("to_lng")))
     return per_code.filter(geo).select(
         "line_code", "from_code", "to_code", F.col("i").cast("int").alias("sequence_order"),
         "from_lat", "from_lng", "to_lat", "to_lng",
-        F.lit(None).cast("int").alias("travel_time_seconds"))
+        F.lit(None).cast("int").alias("travel_time_seconds"), *pair)
 
 
 def adjacency_lines(spark: SparkSession, pairs=ADJACENCY_LINE_CODE_MAP) -> DataFrame:
@@ -229,8 +235,8 @@ def apply_times(edges: DataFrame, times: DataFrame) -> DataFrame:
     """
     t = (_pair_key(times, "from_code", "to_code").groupBy("line_code", "pa", "pb")
          .agg(F.max_by("seconds", "first_seen").alias("_tt")))
-    e = _pair_key(edges, "from_code", "to_code").join(t, ["line_code", "pa", "pb"], "left")
-    return e.select(
+    e = edges if "pa" in edges.columns else _pair_key(edges, "from_code", "to_code")
+    return e.join(t, ["line_code", "pa", "pb"], "left").select(
         "line_code", "from_code", "to_code", "sequence_order", "from_lat", "from_lng",
         "to_lat", "to_lng",
         F.coalesce(F.col("_tt"), F.col("travel_time_seconds"),
@@ -273,7 +279,7 @@ def unmatched_report(unmatched: DataFrame, n: int = 20) -> DataFrame:
 
 def timed_edges(stops: DataFrame, line_map: DataFrame, intervals: DataFrame) -> DataFrame:
     """Edge dimension as served: C19 edges with C20/C21/C22 travel times."""
-    return apply_times(build_edges(stops, line_map), segment_times(intervals)).drop("timed")
+    return apply_times(build_edges(stops, line_map, paired=True), segment_times(intervals)).drop("timed")
 
 
 # --------------------------------------------------------------------------- sinks-as-joins

@@ -86,11 +86,11 @@ def _stored(spark, sf_dir, name, build):
     return _TABLES[key]
 
 
-def _edges(spark, sf_dir, timed=True):
+def _edges(spark, sf_dir, timed=True, paired=False):
     stops = fx.route_stops(spark, sf_dir)
     lm = fx.route_line_map(stops)
     if not timed:
-        return refdata.build_edges(stops, lm)
+        return refdata.build_edges(stops, lm, paired=paired)
     return _stored(spark, sf_dir, "edges", lambda: refdata.timed_edges(
         stops, lm, fx.timetable_intervals(spark, sf_dir)))
 
@@ -134,7 +134,7 @@ def q_segment_times(spark, sf_dir):
 
 @query("q_apply_times")
 def q_apply_times(spark, sf_dir):
-    return refdata.apply_times(_edges(spark, sf_dir, timed=False), _times(spark, sf_dir))
+    return refdata.apply_times(_edges(spark, sf_dir, timed=False, paired=True), _times(spark, sf_dir))
 
 
 @query("q_unmatched_times")
@@ -394,7 +394,7 @@ def q_ordered_lines(spark, sf_dir):
 @query("q_apply_counts")
 def q_apply_counts(spark, sf_dir):
     """Rows that the import of travel times updated and defaulted, counted while they are written."""
-    _, counts = refdata.apply_times_counted(_edges(spark, sf_dir, timed=False), _times(spark, sf_dir))
+    _, counts = refdata.apply_times_counted(_edges(spark, sf_dir, timed=False, paired=True), _times(spark, sf_dir))
     return spark.createDataFrame([(counts["updated"], counts["defaulted"], counts["edges"])],
                                  "updated bigint, defaulted bigint, edges bigint")
 
