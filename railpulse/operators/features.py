@@ -17,6 +17,7 @@ from railpulse.functions.constants import (DEFAULT_LINE_COLOR, LINE_COLORS, LINE
 from railpulse.operators.latest import latest_positions
 from railpulse.operators.location import next_station_label
 from railpulse.operators.position import with_positions
+from railpulse.session import materialize
 
 TRAIN_FEATURE_COLUMNS = [
     "id", "set_number", "trip_number", "line_code", "station_name", "current_location",
@@ -118,11 +119,16 @@ def line_variants(lines: DataFrame, spark: SparkSession) -> DataFrame:
 
 def line_segments(lines: DataFrame, edges: DataFrame, spark: SparkSession) -> DataFrame:
     """C12 geometry in long form: one row per (feature, segment); lines without
-    segments keep one row with NULL coordinates (an empty MultiLineString)."""
-    v = line_variants(lines, spark)
+    segments keep one row with NULL coordinates (an empty MultiLineString).
+
+    A few lines hold all segments, so segments aren't dealt by line: the stored variants' size
+    lets them go to the segments."""
+    v = materialize(line_variants(lines, spark), "line-variants")
     seg = edges.select(F.col("line_code").alias("code"), "from_code", "to_code",
                        "from_lng", "from_lat", "to_lng", "to_lat")
-    return v.join(seg, "code", "left")
+    bare = v.join(seg.select("code").distinct(), "code", "left_anti")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in seg.schema if f.name != "code"]
+    return v.join(seg, "code").unionByName(bare.select("*", *nulls))
 
 
 def line_features(lines: DataFrame, edges: DataFrame, spark: SparkSession) -> DataFrame:

@@ -122,14 +122,17 @@ def build_edges(stops: DataFrame, line_map: DataFrame, paired: bool = False) ->
     4. first occurrence of each directed pair per line code (by line order)
     5. pairs with a missing/zero coordinate are dropped (after the dedup)
 
-    ``paired`` keeps the unordered pair as ``pa`` and ``pb``, by which and the line the edges
-    are dealt, so that a join on them needs no other dealing.
+    The pairs are dealt once, by line code and unordered pair, which serves both dedups; the
+    line map, a small table, is stored first, so that its size decides how it is joined.
+    ``paired`` keeps the unordered pair as ``pa`` and ``pb``, so that a join on them and the
+    line needs no other dealing.  Keys that tell rows apart by their beginning come first in
+    windows and groups, as sorts compare that first.
     """
     code = F.coalesce(F.when(F.col("stationId") != "", F.col("stationId")),
                       F.when(F.col("id") != "", F.col("id")))
     # stops that carry their line's code, which the id implies, are often dealt by it and the
     # sequence already; named here, that dealing serves the window, too
-    seq = [*(["line_code"] if "line_code" in stops.columns else []), "line_id", "seq_no"]
+    seq = ["seq_no", "line_id", *(["line_code"] if "line_code" in stops.columns else [])]
     s = stops.select(*seq, "pos", code.alias("code"), "lat", "lon"
                      ).filter(F.col("code").isNotNull())
     w = Window.partitionBy(*seq).orderBy("pos")
@@ -141,13 +144,12 @@ def build_edges(stops: DataFrame, line_map: DataFrame, paired: bool = False) ->
         F.lead("lon").over(w).alias("to_lng"))
     pairs = s.filter(F.col("to_code").isNotNull()).withColumns({
         "pa": F.least("from_code", "to_code"), "pb": F.greatest("from_code", "to_code")})
-    per_id = first_per_key(pairs, ["line_id", "pa", "pb"], ["seq_no", "i"])
-    per_id = per_id.join(line_map.select("line_id", "line_code", "line_rank"), "line_id")
-    if paired:
-        per_id = per_id.repartition("line_code", "pa", "pb")
+    lines = materialize(line_map.select("line_id", "line_code", "line_rank"), "line-map")
+    pairs = pairs.join(lines, "line_id").repartition("line_code", "pa", "pb")
+    per_id = first_per_key(pairs, ["pa", "pb", "line_id", "line_code", "line_rank"], ["seq_no", "i"])
+    per_code = first_per_key(per_id, ["pa", "pb", "from_code", "to_code", "line_code"],
+                             ["line_rank", "seq_no", "i"])
     pair = ["pa", "pb"] if paired else []
-    per_code = first_per_key(per_id if paired else per_id.drop("pa", "pb"),
-                             ["line_code", *pair, "from_code", "to_code"], ["line_rank", "seq_no", "i"])
     geo = (_truthy_num(F.col("from_lat")) & _truthy_num(F.col("from_lng"))
            & _truthy_num(F.col("to_lat")) & _truthy_num(F.col("to_lng")))
     return per_code.filter(geo).select(

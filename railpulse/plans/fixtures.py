@@ -149,7 +149,7 @@ def route_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     kept = _on_line(li)
-    w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy(*TOT)
+    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*TOT)  # the order's key first: sorts compare its beginning
     kept = kept.withColumn("pos", F.row_number().over(w))
     k = F.col("l_suppkey")
     j = kept.join(sup, kept.l_suppkey == sup.s_suppkey, "left")
@@ -184,7 +184,7 @@ def timetable_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     kept = _on_line(li)
-    w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy(*TOT)
+    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*TOT)  # the order's key first: sorts compare its beginning
     tenths = F.when(F.col("l_quantity") % 7 == 0, F.lit(0)).otherwise(
         (F.col("l_quantity") * 10).cast("long"))
     kept = (kept.withColumn("pos", F.row_number().over(w))
