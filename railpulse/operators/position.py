@@ -143,7 +143,10 @@ def position_context(df: DataFrame, stations: DataFrame, edges: DataFrame,
     d = d.withColumn("_other", F.when(F.col("r1.code").isNotNull(), other))
     d = d.withColumns({"_pa": F.when(F.col("_other").isNotNull(), F.least("r1.code", "_other")),
                        "_pb": F.when(F.col("_other").isNotNull(), F.greatest("r1.code", "_other"))})
-    facts = graph.pair_facts(edges).toDF("_fa", "_fb", "_lines", "_any")
+    # few pairs are asked for of those that edges join; both are stored, so that sizes decide the joins
+    d = materialize(d, "asked-pairs")
+    asked = materialize(d.where(F.col("_pa").isNotNull()).select(F.col("_pa").alias("a"), F.col("_pb").alias("b")).distinct(), "pairs")
+    facts = graph.pair_facts(edges, asked).toDF("_fa", "_fb", "_lines", "_any")
     d = d.join(facts, (F.col("_pa") == F.col("_fa")) & (F.col("_pb") == F.col("_fb")), "left")
     of_line = F.try_element_at("_lines", F.col("line_code"))
     of_key = F.when(F.col("line_key") == graph.ANY_LINE, F.col("_any")).otherwise(
