@@ -5,12 +5,11 @@ a threshold.  Equal sets form one class; the join works on classes, so copies
 never meet each other.  It finds every link that matters to connectivity, with no
 cap on partners:
 
-1. Global order.  A prefix takes a fifth of a set, so it is enough to order a part
-   of the shingles by frequency: those whose hash is below ``COUNTED`` are counted
-   over the corpus, and the level of each count goes to a table of fixed size
-   (``SLOTS`` bytes, by hash).  They come first, rare before frequent; the others
-   follow by hash.  The order is the same everywhere; any such order is right, a
-   table that is crowded only makes it less selective.
+1. Global order.  All shingles are counted over the corpus, and the level of each count
+   that is above one goes to a table of fixed size (``SLOTS`` bytes, by hash).  Shingles come
+   by level, rare before frequent, then by hash, so a prefix holds what is common to many
+   texts only where little else is in them.  The order is the same everywhere; any such
+   order is right, a table that is crowded only makes it less selective.
 2. Prefixes.  Two sets that link share one of the first n - ceil(t n) + 1 shingles
    of each, and it is among the first n - ceil(2 t / (1 + t) n) + 1 of the shorter,
    its core.  Each class posts its prefix; shingles posted by one class alone, or
@@ -54,11 +53,14 @@ from railpulse.llm.shingles import WORDS, mix, shingle_set
 from railpulse.session import materialize
 
 PERCENT = 80
-#: Shingles below this hash, three tenths of all, are counted for the order: more than a prefix takes at 80 percent.
-COUNTED = 3 * (1 << 64) // 10
+#: Entries of the table of levels, a power of two.
 SLOTS = 1 << 23
 BLOCK = 192
 BITS = 1 << 24
+#: So often classes that can't link any more, and the shingles that they kept open, are taken away.
+ROUNDS = 2
+#: A post's place in its set is sent in 15 bits; later places count as this one.
+LATE = (1 << 15) - 1
 
 
 # ------------------------------------------------------------------- global order
@@ -68,7 +70,7 @@ def _ranges(docs: DataFrame) -> int:
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum((shingles.astype(np.float64) * (SLOTS / COUNTED)).astype(np.int64), SLOTS - 1)
+    return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
 def _blobs(columns: dict[str, np.ndarray], ranges: int, at: np.ndarray) -> list[tuple]:
@@ -78,23 +80,28 @@ def _blobs(columns: dict[str, np.ndarray], ranges: int, at: np.ndarray) -> list[
 
 
 def _levels(docs: DataFrame, words: int, ranges: int) -> np.ndarray:
-    """One byte a slot: 0 where no counted shingle occurs twice, else eight times the binary logarithm of the most frequent one's count."""
+    """One byte a slot: 0 where no shingle occurs twice, else eight times the binary logarithm of the most frequent one's count.
+
+    A shingle is counted by a power of two of ranges and the 32 bits of its hash that follow, up to 255 a slice of documents.
+    """
+    bits = (ranges - 1).bit_length()
 
     def count(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
-                own = [s[:np.searchsorted(s, np.uint64(COUNTED))] for s in (shingle_set(t, words) for t in batch.column(0).slice(k, 4096).to_pylist())]
-                token, n = np.unique(np.concatenate(own), return_counts=True)
-                found = _blobs({"token": token, "n": n.astype(np.uint32)}, ranges, _slot(token) * ranges // SLOTS)
+                token, n = np.unique(np.concatenate([shingle_set(t, words) for t in batch.column(0).slice(k, 4096).to_pylist()]), return_counts=True)
+                low = (token >> np.uint64(32 - bits)).astype(np.uint32)
+                found = _blobs({"token": low, "n": np.minimum(n, 255).astype(np.uint8)}, 1 << bits, (token >> np.uint64(64 - bits)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[c] for f in found], pa.binary()) for c in (1, 2))], names=["part", "token", "n"])
 
     def add(table):
-        token = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("token").to_pylist()])
-        n = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("n").to_pylist()])
+        token = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("token").to_pylist()])
+        n = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("n").to_pylist()])
         token, at = np.unique(token, return_inverse=True)
         total = np.bincount(at, weights=n)
         twice = total > 1
-        slot, first = np.unique(_slot(token[twice]), return_index=True)
+        share = SLOTS >> bits
+        slot, first = np.unique((token[twice].astype(np.int64) * share >> 32) + table.column("part")[0].as_py() * share, return_index=True)
         level = np.maximum.reduceat(np.minimum(255, np.ceil(8 * np.log2(total[twice]))), first).astype(np.uint8) if len(slot) else np.empty(0, np.uint8)
         return pa.table({"slot": pa.array([slot.astype(np.int32).tobytes()], pa.binary()), "level": pa.array([level.tobytes()], pa.binary())})
 
@@ -105,9 +112,8 @@ def _levels(docs: DataFrame, words: int, ranges: int) -> np.ndarray:
 
 
 def in_order(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A set (sorted by hash) in the global order: counted shingles by level and hash, then the others by hash."""
-    n = int(np.searchsorted(shingles, np.uint64(COUNTED)))
-    return np.concatenate([shingles[:n][np.argsort(level[_slot(shingles[:n])], kind="stable")], shingles[n:]])
+    """A set (sorted by hash) in the global order: by level, then by hash."""
+    return shingles[np.argsort(level[_slot(shingles)], kind="stable")]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -144,8 +150,8 @@ def _documents(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, levels: np.ndarray, words: int, percent: int, ranges: int) -> DataFrame:
-    """token, sig, core, lo, posts: the classes of each shingle that two or more classes post, one of them as core;
-    whether it is core for this one, the smallest core class, and the number of classes.
+    """token, sig, core, place, lo, posts: the classes of each shingle that two or more classes post, one of them as core;
+    whether it is core for this one, how many shingles come before it, the smallest core class, and the number of classes.
 
     Posts travel as arrays of a hash range; a class posts once a slice.
     """
@@ -162,31 +168,31 @@ def _buckets(docs: DataFrame, levels: np.ndarray, words: int, percent: int, rang
                         prefix[sig] = in_order(own, level)[:prefix_length(len(own), percent)]
                         sizes.append(len(own))
                 token = np.concatenate([*prefix.values(), np.empty(0, np.uint64)])
-                core = np.concatenate([*(np.arange(len(p)) < core_length(n, percent) for p, n in zip(prefix.values(), sizes)), np.empty(0, bool)])
+                place = np.concatenate([*(np.minimum(np.arange(len(p)), LATE) + (LATE + 1) * (np.arange(len(p)) < core_length(n, percent)) for p, n in zip(prefix.values(), sizes)), np.empty(0, np.int64)]).astype(np.uint16)
                 sig = np.repeat(np.array([*prefix], np.int64), [len(p) for p in prefix.values()])
                 at = (token & np.uint64(0xFFFFFF)).astype(np.int64) * ranges >> 24
                 order = np.argsort(at, kind="stable")
-                found = _blobs({"token": token[order], "sig": sig[order], "core": core[order]}, ranges, at[order])
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[c] for f in found], pa.binary()) for c in (1, 2, 3))], names=["part", "token", "sig", "core"])
+                found = _blobs({"token": token[order], "sig": sig[order], "place": place[order]}, ranges, at[order])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[c] for f in found], pa.binary()) for c in (1, 2, 3))], names=["part", "token", "sig", "place"])
 
     def meet(table):
         token = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("token").to_pylist()])
         sig = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("sig").to_pylist()])
-        core = np.concatenate([np.frombuffer(b, bool) for b in table.column("core").to_pylist()])
+        place = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("place").to_pylist()])
         order = np.lexsort((sig, token))
-        token, sig, core = token[order], sig[order], core[order]
+        token, sig, place = token[order], sig[order], place[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-        token, sig, core = token[new], sig[new], core[new]
+        token, sig, core, place = token[new], sig[new], place[new] > LATE, (place[new] & LATE).astype(np.int32)
         _, at, n = np.unique(token, return_inverse=True, return_counts=True)
         cores = np.bincount(at, weights=core)
         lo = np.zeros(len(n), np.int64)  # the smallest core class: rows are in order, so the last written is the first
         lo[at[core][::-1]] = sig[core][::-1]
         n = n[at]
         two = (n > 1) & (cores[at] > 0)
-        return pa.table({"token": pa.array(token[two].view(np.int64)), "sig": pa.array(sig[two]), "core": pa.array(core[two]), "lo": pa.array(lo[at][two]), "posts": pa.array(n[two].astype(np.int64))})
+        return pa.table({"token": pa.array(token[two].view(np.int64)), "sig": pa.array(sig[two]), "core": pa.array(core[two]), "place": pa.array(place[two]), "lo": pa.array(lo[at][two]), "posts": pa.array(n[two].astype(np.int64))})
 
-    return docs.select("text").mapInArrow(post, "part int, token binary, sig binary, core binary").groupBy("part").applyInArrow(meet, "token long, sig long, core boolean, lo long, posts long")
+    return docs.select("text").mapInArrow(post, "part int, token binary, sig binary, place binary").groupBy("part").applyInArrow(meet, "token long, sig long, core boolean, place int, lo long, posts long")
 
 
 # ------------------------------------------------------------------- join in a block
@@ -331,6 +337,22 @@ def bitmap(ids: DataFrame, doc_id: str = "doc_id") -> np.ndarray:
     return bits
 
 
+def _able(placed: DataFrame, percent: int) -> DataFrame:
+    """Posts of shingles whose classes lie in two components, of classes that can still link; ``widest`` is the size of
+    the largest set that a class can link with.
+
+    The first shingle that two sets share is posted by both, and if it is of one component, so are they.
+    So a class shares, with any class it has yet to link with, at most what comes from its first open
+    shingle on, which bounds the other one's size.
+    """
+    ends = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    still = placed.join(ends.select("token"), "token", "left_semi")
+    begin = Window.partitionBy("sig")
+    rest = F.col("size") - F.min("place").over(begin)
+    widest = F.floor((100 + percent) * rest / percent) - F.col("size")
+    return still.withColumn("widest", widest).where(100 * F.col("widest") >= percent * F.col("size"))
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, sig (null: no words), component_id and component of every row of ``docs`` (doc_id, text).
 
@@ -363,21 +385,23 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     first = _block_links(homes.join(sets, "sig").withColumn("side", F.lit(None).cast("long")), ["k", "token", "part"], percent)
     label = materialize(components(first), "first-components")
 
-    # shingles whose classes aren't yet one component
-    placed = buckets.select("token", "sig", "core", "size").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    # shingles whose classes aren't yet one component, and classes that can link by one
+    placed = buckets.select("token", "sig", "core", "place", "size").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    for _ in range(ROUNDS):
+        placed = materialize(_able(placed, percent), "placed")
     open_tokens = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("sig", "core").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("sig", "core", F.lit(9)).cast("decimal(38,0)")).alias("s2")).where("lo < hi")
     one_each = open_tokens.groupBy("n", "s1", "s2").agg(F.min("token").alias("token")).select("token", "n")
     rest = placed.join(one_each.select("token", "n"), "token")
     # a class leads to its most posted shingle; one whose classes all lead to the same other is covered there
     lead = rest.groupBy("sig").agg(F.max(F.struct("n", "token", "core")).alias("x")).select("sig", F.col("x.token").alias("lead"), F.col("x.core").alias("lead_core"))
     apart = rest.join(lead, "sig").groupBy("token").agg(F.min("lead").alias("l1"), F.max("lead").alias("l2"), F.bool_or(F.col("core") & ~F.col("lead_core")).alias("more")).where("l1 < l2 OR l1 = token OR more")
-    rest = rest.select("token", "sig", "core", "size", "label").join(apart.select("token"), "token")
+    rest = rest.select("token", "sig", "core", "size", "label", "widest").join(apart.select("token"), "token")
     band = F.floor(F.log(F.col("size")) / math.log(1.25))  # sets that link differ by a quarter at most at 80 percent
-    place = F.row_number().over(Window.partitionBy("token").orderBy(F.col("core").desc(), band, "label", "sig"))
-    part = materialize(rest.withColumn("part", F.floor((place - 1) / (BLOCK // 2))), "parts")
-    ends = part.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most"), F.bool_or("core").alias("core"))
-    other = ends.select("token", *[F.col(a).alias(b) for a, b in (("part", "q"), ("lo", "lo2"), ("hi", "hi2"), ("least", "least2"), ("most", "most2"), ("core", "core2"))])
-    near = (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
+    nth = F.row_number().over(Window.partitionBy("token").orderBy(F.col("core").desc(), band, "label", "sig"))
+    part = materialize(rest.withColumn("part", F.floor((nth - 1) / (BLOCK // 2))), "parts")
+    ends = part.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("widest").alias("widest"), F.bool_or("core").alias("core"))
+    other = ends.select("token", *[F.col(a).alias(b) for a, b in (("part", "q"), ("lo", "lo2"), ("hi", "hi2"), ("least", "least2"), ("most", "most2"), ("widest", "widest2"), ("core", "core2"))])
+    near = (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least")) & (F.col("widest") >= F.col("least2")) & (F.col("widest2") >= F.col("least"))
     pairs = ends.join(other, "token").where("part <= q AND (core OR core2) AND least(lo, lo2) < greatest(hi, hi2)").where(near)
     pairs = pairs.select("token", F.col("part").alias("p"), "q")
     wide = pairs.select("token", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part")).join(part.select("token", "part", "sig", "label"), ["token", "part"])
