@@ -82,19 +82,23 @@ class Index:
 
 
 def scorer(pivots: np.ndarray, length: int = LENGTH, share: float = SHARE, least_rerank: int = LEAST_RERANK):
-    def score(q, ids, c, cids, least, k):
+    def block(c, cids, k):
         index = Index(c, pivots, length)
-        near = nearest_pivots(q, pivots, length)
         rerank = min(len(c), max(least_rerank, k + 1, int(np.ceil(share * len(c)))))
-        norm, own = np.linalg.norm(c, axis=1), np.linalg.norm(q, axis=1)
-        for i in range(len(q)):
-            at = np.argpartition(index.footrule(near[i]), rerank - 1)[:rerank] if rerank < len(c) else np.arange(len(c))
-            cosine = (c[at] @ q[i]) / (norm[at] * own[i])
-            found = vector_blocks.best(cosine, cids[at], ids[i], k, least[i])
-            if len(found[0]):
-                yield i, found
-
-    return score
+        norm = np.linalg.norm(c, axis=1)
+
+        def score(q, ids, least):
+            near, own = nearest_pivots(q, pivots, length), np.linalg.norm(q, axis=1)
+            for i in range(len(q)):
+                at = np.argpartition(index.footrule(near[i]), rerank - 1)[:rerank] if rerank < len(c) else np.arange(len(c))
+                cosine = (c[at] @ q[i]) / (norm[at] * own[i])
+                found = vector_blocks.best(cosine, cids[at], ids[i], k, least[i])
+                if len(found[0]):
+                    yield i, found
+
+        return score
+
+    return block
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, length: int = LENGTH, share: float = SHARE) -> DataFrame:

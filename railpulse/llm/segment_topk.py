@@ -49,23 +49,30 @@ def _products(q: np.ndarray, c: np.ndarray, alive: np.ndarray, dense: bool) -> n
     return out
 
 
-def score_block(q: np.ndarray, ids: np.ndarray, c: np.ndarray, cids: np.ndarray, least: np.ndarray, k: int):
-    alive = np.ones((len(q), len(c)), bool)
-    if np.isfinite(least).any():
-        room = 1e-9 * (1 + np.abs(q).max() * np.abs(c).max() * q.shape[1])  # of rounding
-        for length in LEVELS:
-            dense = alive.mean() > SPARSE
-            alive &= _products(statistics(q, length), statistics(c, length), alive, dense) >= (least - room)[:, None]
-            if not alive.any():
-                return
-    if np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**52:
-        scores = _products(q, c, alive, alive.mean() > SPARSE)
-    else:  # exact in Python's integers; such scores are rounded to a double only for their order
-        scores = np.where(alive, (q.astype(object) @ c.astype(object).T).astype(np.float64), -np.inf)
-    for i in range(len(q)):
-        found = vector_blocks.best(scores[i], cids, ids[i], k, max(least[i], -1e308))
-        if len(found[0]):
-            yield i, found
+def score_block(c: np.ndarray, cids: np.ndarray, k: int):
+    known = {}  # statistics of the candidates
+
+    def score(q: np.ndarray, ids: np.ndarray, least: np.ndarray):
+        alive = np.ones((len(q), len(c)), bool)
+        if np.isfinite(least).any():
+            room = 1e-9 * (1 + np.abs(q).max() * np.abs(c).max() * q.shape[1])  # of rounding
+            for length in LEVELS:
+                dense = alive.mean() > SPARSE
+                if length not in known:
+                    known[length] = statistics(c, length)
+                alive &= _products(statistics(q, length), known[length], alive, dense) >= (least - room)[:, None]
+                if not alive.any():
+                    return
+        if np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**52:
+            scores = _products(q, c, alive, alive.mean() > SPARSE)
+        else:  # exact in Python's integers; such scores are rounded to a double only for their order
+            scores = np.where(alive, (q.astype(object) @ c.astype(object).T).astype(np.float64), -np.inf)
+        for i in range(len(q)):
+            found = vector_blocks.best(scores[i], cids, ids[i], k, max(least[i], -1e308))
+            if len(found[0]):
+                yield i, found
+
+    return score
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0) -> DataFrame:
