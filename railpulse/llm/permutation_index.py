@@ -28,12 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.llm import vector_blocks
+from railpulse.session import materialize
 
 PIVOTS = 512
 LENGTH = 128
 SHARE = 0.3
 LEAST_RERANK = 64
 SAMPLE = 4096
+#: Ranges of the hash that the rows are counted by, a power of two.
+RANGES = 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,7 +45,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """At most ``pivots`` different directions from a sample of at most ``sample`` rows, far ones first."""
-    taken = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).collect()
+    order = F.xxhash64("vec_id", F.lit(11))
+    # counts of ranges of the hash tell which ones hold the sample, so that no more is ordered, and only the sample is sent
+    ranges = rows.groupBy(F.shiftright(order, 64 - RANGES.bit_length() + 1).alias("r")).agg(F.count("*").alias("n")).collect()
+    last, n = None, 0
+    for r in sorted(ranges, key=lambda r: r["r"]):
+        if n >= sample:
+            break
+        last, n = r["r"], n + r["n"]
+    low = rows.withColumn("h", order).where(F.shiftright("h", 64 - RANGES.bit_length() + 1) <= F.lit(last)) if ranges else rows.withColumn("h", order)
+    taken = sorted(materialize(low.orderBy("h", "vec_id").limit(sample), "sample").collect(), key=lambda r: (r["h"], r["vec_id"]))
     x = unit(np.array([r["v"] for r in taken], np.float64)) if taken else np.empty((0, 1))
     chosen, nearest = [], np.full(len(x), -2.0)
     at = 0

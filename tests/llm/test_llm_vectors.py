@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.core.context import SparkContext
 from pyspark.sql import functions as F
 
-from railpulse.llm import segment_topk, vector_blocks
+from railpulse.llm import permutation_index, segment_topk, vector_blocks
 
 
 def test_queries_are_sent_in_chunks_and_never_copied(spark, monkeypatch):
@@ -49,3 +49,26 @@ def test_doubles_that_floats_cannot_hold(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = segment_topk.top_products(table, F.col("vec_id") == 0, k=4, scale=2.0**25).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [4, 3, 2, 1]
+
+
+def test_the_pivots_sample_alone_reaches_the_driver(spark, monkeypatch):
+    """Neither the best rows of every partition nor rows beyond the sample; the same rows as by a plain order."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 4))
+    table = spark.createDataFrame([(k // 3, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, v array<double>").repartition(6)
+    ids = {r["vec_id"] for r in table.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(90).collect()}
+    frame, seen = type(table), []
+    collect = frame.collect
+
+    def spy(self):
+        if "v" in self.columns:
+            assert "TakeOrderedAndProject" not in self._jdf.queryExecution().executedPlan().toString()
+        seen.append(collect(self))
+        return seen[-1]
+
+    monkeypatch.setattr(frame, "collect", spy)
+    chosen = permutation_index.choose_pivots(table, 16, 90)
+    assert chosen.shape == (16, 4)
+    rows = next(s for s in seen if s and "v" in s[0].asDict())
+    assert len(rows) == 90 and {r["vec_id"] for r in rows} == ids
+    assert permutation_index.choose_pivots(table.where("false"), 16, 90).shape[0] == 0
