@@ -10,11 +10,14 @@ cap on partners:
    by level, rare before frequent, then by hash, so a prefix holds what is common to many
    texts only where little else is in them.  The order is the same everywhere; any such
    order is right, a table that is crowded only makes it less selective.
-2. Prefixes.  Two sets that link share one of the first n - ceil(t n) + 1 shingles
-   of each, and it is among the first n - ceil(2 t / (1 + t) n) + 1 of the shorter,
-   its core.  Each class posts its prefix; shingles posted by one class alone, or
-   by none as core, drop.
-3. Families.  Classes connected by shared prefix shingles form a family; no link
+2. Prefixes.  Two sets that link share ``SHARED`` of the first n - ceil(t n) + ``SHARED``
+   shingles of each, and they are among the first n - ceil(2 t / (1 + t) n) + ``SHARED``
+   of the shorter, its core (of smaller sets as many as they have to share).  Each class
+   posts its prefix; shingles posted by one class alone, or by none as core, drop.
+3. Families.  Two classes that share fewer than that can't link, and the more texts there
+   are the more pairs share one by chance.  So shingles of at most ``FEW`` classes connect
+   those pairs only that share enough of them, or that both post a shingle of more
+   classes, which connects all of its own.  Classes so connected form a family; no link
    leaves it.  A family of at most ``BLOCK`` classes is joined in one task.
 4. Large families.  Each class goes to two of its shared shingles, picked by hash;
    a shingle's classes are dealt into blocks of about ``BLOCK``, and each block
@@ -50,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from railpulse.llm.shingles import WORDS, mix, shingle_set
-from railpulse.session import materialize
+from railpulse.session import drop_shuffles, materialize
 
 PERCENT = 80
 #: Entries of the table of levels, a power of two.
@@ -59,8 +62,12 @@ BLOCK = 192
 BITS = 1 << 24
 #: So often classes that can't link any more, and the shingles that they kept open, are taken away.
 ROUNDS = 2
-#: A post's place in its set is sent in 15 bits; later places count as this one.
-LATE = (1 << 15) - 1
+#: A post's place in its set is sent in 13 bits; later places count as this one.
+LATE = (1 << 13) - 1
+#: So many of the first shingles two classes must share, if their sizes ask for as many; at most 4.
+SHARED = 4
+#: Pairs are counted of shingles that at most so many classes post.
+FEW = 8
 
 
 # ------------------------------------------------------------------- global order
@@ -116,13 +123,15 @@ def in_order(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
     return shingles[np.argsort(level[_slot(shingles)], kind="stable")]
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT, shared: int = 1) -> int:
+    least = -(-percent * n // 100)
+    return n - least + min(shared, least)
 
 
-def core_length(n: int, percent: int = PERCENT) -> int:
-    """The shorter of two sets that link shares one of this many of its first shingles with a prefix of the longer."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1
+def core_length(n: int, percent: int = PERCENT, shared: int = 1) -> int:
+    """The shorter of two sets that link shares ``shared`` of this many of its first shingles with a prefix of the longer."""
+    least = -(-2 * percent * n // (100 + percent))
+    return n - least + min(shared, least)
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -150,10 +159,12 @@ def _documents(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, levels: np.ndarray, words: int, percent: int, ranges: int) -> DataFrame:
-    """token, sig, core, place, lo, posts: the classes of each shingle that two or more classes post, one of them as core;
-    whether it is core for this one, how many shingles come before it, the smallest core class, and the number of classes.
+    """token, sig, core, place, lo, posts, others: the classes of each shingle that two or more classes post, one of them as core;
+    whether it is core for this one, how many shingles come before it, the smallest core class, the number of classes, and,
+    of at most ``FEW`` classes, the larger ones with the number of shingles that this one and they must share.
 
-    Posts travel as arrays of a hash range; a class posts once a slice.
+    Posts travel as arrays of a hash range; a class posts once a slice.  A shingle is known by its range and 32 bits of its
+    hash: should two be taken for one, that connects classes that may not link.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -165,34 +176,51 @@ def _buckets(docs: DataFrame, levels: np.ndarray, words: int, percent: int, rang
                 for text in batch.column(0).slice(k, 4096).to_pylist():
                     own = shingle_set(text, words)
                     if len(own) and (sig := signature(own)) not in prefix:
-                        prefix[sig] = in_order(own, level)[:prefix_length(len(own), percent)]
+                        prefix[sig] = in_order(own, level)[:prefix_length(len(own), percent, SHARED)]
                         sizes.append(len(own))
                 token = np.concatenate([*prefix.values(), np.empty(0, np.uint64)])
-                place = np.concatenate([*(np.minimum(np.arange(len(p)), LATE) + (LATE + 1) * (np.arange(len(p)) < core_length(n, percent)) for p, n in zip(prefix.values(), sizes)), np.empty(0, np.int64)]).astype(np.uint16)
+                need = lambda n: min(SHARED, -(-percent * n // 100)) - 1
+                place = np.concatenate([*((np.minimum(np.arange(len(p)), LATE) + (LATE + 1) * (need(n) + 4 * (np.arange(len(p)) < core_length(n, percent, SHARED)))) for p, n in zip(prefix.values(), sizes)), np.empty(0, np.int64)]).astype(np.uint16)
                 sig = np.repeat(np.array([*prefix], np.int64), [len(p) for p in prefix.values()])
                 at = (token & np.uint64(0xFFFFFF)).astype(np.int64) * ranges >> 24
                 order = np.argsort(at, kind="stable")
-                found = _blobs({"token": token[order], "sig": sig[order], "place": place[order]}, ranges, at[order])
+                found = _blobs({"token": (token[order] >> np.uint64(32)).astype(np.uint32), "sig": sig[order], "place": place[order]}, ranges, at[order])
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[c] for f in found], pa.binary()) for c in (1, 2, 3))], names=["part", "token", "sig", "place"])
 
     def meet(table):
-        token = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("token").to_pylist()])
+        token = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("token").to_pylist()]).astype(np.int64) + (table.column("part")[0].as_py() << 32)
         sig = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("sig").to_pylist()])
         place = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("place").to_pylist()])
         order = np.lexsort((sig, token))
         token, sig, place = token[order], sig[order], place[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-        token, sig, core, place = token[new], sig[new], place[new] > LATE, (place[new] & LATE).astype(np.int32)
+        token, sig, core, need, place = token[new], sig[new], place[new] >= 4 * (LATE + 1), (place[new] // (LATE + 1) % 4 + 1).astype(np.int8), (place[new] & LATE).astype(np.int32)
         _, at, n = np.unique(token, return_inverse=True, return_counts=True)
         cores = np.bincount(at, weights=core)
         lo = np.zeros(len(n), np.int64)  # the smallest core class: rows are in order, so the last written is the first
         lo[at[core][::-1]] = sig[core][::-1]
         n = n[at]
         two = (n > 1) & (cores[at] > 0)
-        return pa.table({"token": pa.array(token[two].view(np.int64)), "sig": pa.array(sig[two]), "core": pa.array(core[two]), "place": pa.array(place[two]), "lo": pa.array(lo[at][two]), "posts": pa.array(n[two].astype(np.int64))})
+        token, sig, core, need, place, lo, n = token[two], sig[two], core[two], need[two], place[two], lo[at][two], n[two].astype(np.int64)
+        row = np.arange(len(token))
+        after = np.where(n <= FEW, np.searchsorted(token, token, "right") - row - 1, 0)  # so many rows of the same shingle follow
+        mine = np.repeat(row, after)
+        other = mine + 1 + np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after)
+        pairs = pa.StructArray.from_arrays([pa.array(sig[other], pa.int64()), pa.array(np.maximum(need[mine], need[other]), pa.int8())], names=["sig", "need"])
+        others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(after)), pa.int32()), pairs)
+        return pa.table({"token": pa.array(token), "sig": pa.array(sig), "core": pa.array(core), "place": pa.array(place), "lo": pa.array(lo), "posts": pa.array(n), "others": others})
 
-    return docs.select("text").mapInArrow(post, "part int, token binary, sig binary, place binary").groupBy("part").applyInArrow(meet, "token long, sig long, core boolean, place int, lo long, posts long")
+    return docs.select("text").mapInArrow(post, "part int, token binary, sig binary, place binary").groupBy("part").applyInArrow(meet, "token long, sig long, core boolean, place int, lo long, posts long, others array<struct<sig: bigint, need: tinyint>>")
+
+
+def _connections(buckets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes such that no two that can link lie apart: see Families above."""
+    pairs = buckets.select(F.col("sig").alias("a"), F.explode("others").alias("o")).groupBy("a", F.col("o.sig").alias("b")).agg(F.count("*").alias("n"), F.max("o.need").alias("need"))
+    many = buckets.where(F.col("posts") > FEW)
+    wide = many.select("sig").distinct()
+    weak = pairs.where("n < need").join(wide.withColumnRenamed("sig", "a"), "a", "left_semi").join(wide.withColumnRenamed("sig", "b"), "b", "left_semi")
+    return pairs.where("n >= need").select("a", "b").union(weak.select("a", "b")).union(many.select(F.col("lo").alias("a"), F.col("sig").alias("b")))
 
 
 # ------------------------------------------------------------------- join in a block
@@ -358,14 +386,18 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     ``component`` names a component also where rows that share a doc_id lie in several (null: no words).
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    with drop_shuffles(docs.sparkSession):
+        return _near_copies(docs.select("doc_id", F.col("text").cast("string").alias("text")), words, percent)
+
+
+def _near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     known = materialize(_documents(docs, words), "shingled")
     classes = known.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"))
     ranges = _ranges(docs)
     buckets = materialize(_buckets(docs, _levels(docs, words, ranges), words, percent, ranges), "buckets")
 
     # families: classes connected by shared prefix shingles; no link leaves a family
-    family = components(buckets.select(F.col("lo").alias("a"), F.col("sig").alias("b")))
+    family = components(_connections(buckets))
     family = family.join(family.groupBy("label").agg(F.count("*").alias("members")), "label")
     sources = materialize(family.join(classes.withColumnRenamed("sig", "node"), "node").select(F.col("node").alias("sig"), F.col("label").alias("family"), "members", "first_id", "size"), "sources")
     # their sets, read again from the texts
@@ -374,8 +406,11 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     # a family that fits in a block is joined whole; the links that connect it point to its components' smallest class
     small = materialize(_block_links(sets.where(F.col("members") <= BLOCK).withColumn("side", F.lit(None).cast("long")), ["family"], percent), "small-links")
     sets = sets.where(F.col("members") > BLOCK).select("sig", "shingles")
-    wanted = sources.where(F.col("members") > BLOCK).select("sig", "size")
-    buckets = materialize(buckets.join(wanted, "sig"), "large-buckets")
+    wanted = sources.where(F.col("members") > BLOCK).select("sig", "size", "family")
+    # a shingle of several families is one of each
+    buckets = materialize(buckets.drop("lo", "posts", "others").join(wanted, "sig").withColumn("token", F.xxhash64("token", "family")).drop("family"), "family-buckets")
+    posts = buckets.groupBy("token").agg(F.count("*").alias("posts"), F.bool_or("core").alias("any")).where("posts > 1 AND any").drop("any")
+    buckets = materialize(buckets.join(posts, "token"), "large-buckets")
 
     # first links of large families, by two shared shingles a class
     pick = lambda k: F.min_by(F.struct("token", "posts"), F.xxhash64("token", F.lit(k)))

@@ -102,6 +102,21 @@ def scratch_job(spark: SparkSession, name: str = "job") -> Iterator[str]:
         delete_folder(spark, path)
 
 
+@contextmanager
+def drop_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written or collected inside go when that has ended.
+
+    Else they stay until the driver happens to collect its garbage, and those of one step lie beside the next one's.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
