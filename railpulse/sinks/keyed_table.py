@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,14 +114,17 @@ class KeyedTable:
             both = both.select(
                 F.when(stays, F.col("o")).otherwise(F.col("n")).alias("row"), F.coalesce("a.bucket", "b.bucket").alias("bucket"),
                 F.coalesce(stays, F.lit(False)).alias("stays"), F.coalesce(enters, F.lit(False)).alias("enters"), is_old.alias("was"), is_new.alias("is"), F.coalesce("_gone", F.lit(False)).alias("_gone"))
-            both = both.observe(
-                seen, F.count_if(F.col("enters") & ~F.col("was")).alias("inserted"), F.count_if(F.col("enters") & F.col("was")).alias("updated"),
-                F.count_if(F.col("was") & ~F.col("stays") & ~F.col("enters")).alias("deleted"))
+            kinds = [F.count_if(F.col("enters") & ~F.col("was")).alias("inserted"), F.count_if(F.col("enters") & F.col("was")).alias("updated"),
+                     F.count_if(F.col("was") & ~F.col("stays") & ~F.col("enters")).alias("deleted")]
+            counted, both = both, both.observe(seen, *kinds)
             version = uuid.uuid4().hex[:8]
             out = both.where("stays OR enters").select("row.*", "bucket").withColumn("version", F.lit(version))
             if touched:
                 (out.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket", "version").parquet(self.path))
-                counts = seen.get
+                try:
+                    counts = seen.get
+                except Py4JJavaError:  # no row came out, and Spark dropped the part of the plan that counts
+                    counts = counted.agg(*kinds).first().asDict()
             else:
                 counts = {"inserted": 0, "updated": 0, "deleted": 0}
             made = {b for b in touched if f"version={version}" in self.commits.names(f"bucket={b}")}

@@ -187,6 +187,24 @@ def test_replace_delete_and_empty(spark, tmp_dir):
     assert t.upsert(dim(spark, [])).inserted == 0
 
 
+def test_counts_without_an_observation(spark, tmp_dir, monkeypatch):
+    """Where nothing is left to write, Spark may drop the part of the plan that observes the counts."""
+    from py4j.protocol import Py4JJavaError
+    from railpulse.sinks import keyed_table
+
+    t = KeyedTable(spark, tmp_dir + "/t", ["code"], buckets=4)
+    t.upsert(dim(spark, [("A", "a"), ("B", "b")]))
+
+    def lost(self):
+        raise Py4JJavaError("no metrics", type("E", (), {"_target_id": "o1"})())
+
+    monkeypatch.setattr(keyed_table.Observation, "get", property(lost))
+    done = t.upsert(dim(spark, [("B", "z"), ("C", "c")]))
+    assert (done.inserted, done.updated, done.deleted) == (1, 1, 0)
+    assert t.replace(dim(spark, [])).deleted == 3
+    assert t.read().count() == 0
+
+
 def test_two_rows_of_a_key_and_other_columns_are_errors(spark, tmp_dir):
     t = KeyedTable(spark, tmp_dir + "/t", ["code"], buckets=4)
     t.upsert(dim(spark, [("A", "a")]))
